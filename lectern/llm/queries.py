@@ -18,11 +18,17 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id"], ids=False, digests=True)
 
 
+def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.lattice import near_duplicate_vectors
+
+    return near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.minhash import near_duplicates
 
     return near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85, bands=20)
 
 
-QUERIES = {"op4_minhash": op4_minhash, "op6_bpe": op6_bpe}
+QUERIES = {"op2_lattice": op2_lattice, "op4_minhash": op4_minhash, "op6_bpe": op6_bpe}
 ORACLE_SQL: dict[str, str] = {}
