@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import base64
+import bisect
+import gc
 import hashlib
 import heapq
-from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 #: Words whose ids a Python worker keeps; beyond it the store is emptied, which changes only speed.
-CACHE_WORDS = 600_000
-CACHE_WORD_BYTES = 64
-#: Characters of text whose distinct words are replayed together.
+CACHE_WORDS = 500_000
+#: Characters of text whose distinct words are looked up together, and distinct words in one replay,
+#: so few that their symbols stay in the processor's cache.
 BATCH_CHARS = 4_000_000
+REPLAY_WORDS = 1_000
 
 OUT = "n_tokens long, ids array<int>"
 
@@ -26,96 +29,112 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+class Merges:
+    """A rank file's tables: the rank of each byte, and of each pair of tokens that join to a token."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.token = {r: b for b, r in ranks.items()}
+        self.byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
+        self.pair = {}
+        for word, r in ranks.items():
+            for i in range(1, len(word)):
+                left, right = ranks.get(word[:i]), ranks.get(word[i:])
+                if left is not None and right is not None:
+                    self.pair[left << 32 | right] = r
+        self.bytes2 = np.array([[ranks.get(bytes([i, j]), -1) for j in range(256)] for i in range(256)], np.int64)
+
+
+def replay(words: list[bytes], merges: Merges) -> list[tuple[int, ...]]:
     """Token ids of each word by replaying merges in rank order over all words at once.
 
     All words lie in one array of symbols with links to the neighbours. An inverted index leads from
     the rank of a pair to the positions where it stands; a heap gives the lowest rank still present.
     A merge touches only its two neighbours, whose new pairs enter the index. When a merge makes a
     pair of a lower rank, the later positions in that word wait until the lower one is done, so every
-    word sees its merges in the order in which it would see them alone. An empty word gives no ids;
-    a byte without a rank raises KeyError.
+    word sees its merges in the order in which it would see them alone. A word that is a token is
+    that token, whatever its merges give. An empty word gives no ids; a byte without a rank raises
+    KeyError.
     """
-    sym: list[bytes] = []
-    owner: list[int] = []
-    nxt: list[int] = []
-    prev: list[int] = []
-    heads: list[int] = []
-    single = [bytes([i]) for i in range(256)]
-    index: dict[int, list[int]] = defaultdict(list)
-    get = ranks.get
+    ranks = merges.ranks
+    out: list = [None] * len(words)
+    todo = []
     for w, word in enumerate(words):
-        at = len(sym)
-        heads.append(at if word else -1)
-        if not word:
-            continue
-        if word in ranks:  # a word that is a token is that token, whatever its merges give
-            sym.append(word)
-            owner.append(w)
-            nxt.append(-1)
-            prev.append(-1)
-            continue
-        n = len(word)
-        sym.extend(single[b] for b in word)
-        owner.extend([w] * n)
-        nxt.extend(range(at + 1, at + n))
-        nxt.append(-1)
-        prev.append(-1)
-        prev.extend(range(at, at + n - 1))
-        for i in range(n - 1):
-            r = get(word[i : i + 2])
-            if r is not None:
-                index[r].append(at + i)
-    heap = list(index)
-    heapq.heapify(heap)
-    token = {r: b for b, r in ranks.items()} if heap else {}
+        r = ranks.get(word)
+        if r is not None:
+            out[w] = (r,)
+        elif word:
+            todo.append(w)
+        else:
+            out[w] = ()
+    if not todo:
+        return out
+    sizes = np.fromiter((len(words[w]) for w in todo), np.int64, len(todo))
+    buf = np.frombuffer(b"".join([words[w] for w in todo]), np.uint8)
+    first = merges.byte[buf]
+    if (first < 0).any():
+        raise KeyError("a byte has no rank")
+    ends = np.cumsum(sizes)
+    n = len(buf)
+    nxt, prev, standing = np.arange(1, n + 1), np.arange(-1, n - 1), np.full(n, -1)
+    standing[:-1] = merges.bytes2[buf[:-1], buf[1:]]
+    nxt[ends - 1] = prev[ends - sizes] = standing[ends - 1] = -1
+    order = np.argsort(standing, kind="stable")
+    present, at = np.unique(standing[order], return_index=True)
+    index: dict[int, list[int]] = {r: x.tolist() for r, x in zip(present.tolist(), np.split(order, at[1:]), strict=True) if r >= 0}
+    heap = sorted(index)
+    sym, nxt, prev, standing, stops = first.tolist(), nxt.tolist(), prev.tolist(), standing.tolist(), ends.tolist()
+    get, push, pop = merges.pair.get, heapq.heappush, heapq.heappop
     while heap:
-        rank = heapq.heappop(heap)
-        places = index.pop(rank, None)
-        if places is None:
-            continue
-        pair, waits, later = token[rank], -1, []
-        size = len(pair)
-        for p in sorted(places):
-            q = nxt[p]
-            left = sym[p]
-            if left is None or q < 0 or len(left) + len(sym[q]) != size or left + sym[q] != pair:
+        rank = pop(heap)
+        places = index.pop(rank)
+        places.sort()
+        wait, later, high = -1, [], rank << 32
+        for p in places:
+            if standing[p] != rank:
                 continue
-            if owner[p] == waits:
+            if p < wait:
                 later.append(p)
                 continue
-            sym[p], sym[q] = pair, None
-            after = nxt[p] = nxt[q]
+            q = nxt[p]
+            after = nxt[q]
+            sym[p], sym[q], nxt[p], standing[q] = rank, -1, after, -1
             lower = False
             if after >= 0:
                 prev[after] = p
-                r = get(pair + sym[after])
-                if r is not None:
-                    if r not in index:
-                        heapq.heappush(heap, r)
-                    index[r].append(p)
+                r = get(high | sym[after], -1)
+                standing[p] = r
+                if r >= 0:
+                    if r in index:
+                        index[r].append(p)
+                    else:
+                        index[r] = [p]
+                        push(heap, r)
                     lower = r < rank
+            else:
+                standing[p] = -1
             before = prev[p]
             if before >= 0:
-                r = get(sym[before] + pair)
-                if r is not None:
-                    if r not in index:
-                        heapq.heappush(heap, r)
-                    index[r].append(before)
+                r = get(sym[before] << 32 | rank, -1)
+                standing[before] = r
+                if r >= 0:
+                    if r in index:
+                        index[r].append(before)
+                    else:
+                        index[r] = [before]
+                        push(heap, r)
                     lower = lower or r < rank
             if lower:
-                waits = owner[p]
+                wait = stops[bisect.bisect_right(stops, p)]
         if later:
-            if rank not in index:
-                heapq.heappush(heap, rank)
-            index[rank].extend(later)
-    out = []
-    for at in heads:
-        ids = []
-        while at >= 0:
-            ids.append(ranks[sym[at]])
-            at = nxt[at]
-        out.append(ids)
+            push(heap, rank)
+            index[rank] = later
+    final = np.array(sym)
+    alive = final >= 0
+    cut = np.concatenate(([0], np.cumsum(alive)[ends - 1])).tolist()
+    ids = final[alive].tolist()
+    for w, a, z in zip(todo, cut, cut[1:], strict=False):
+        out[w] = tuple(ids[a:z])
     return out
 
 
@@ -123,27 +142,30 @@ class Encoder:
     """Encodes batches of texts; remembers the ids of short words between batches."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.find, self.known = ranks, regex.compile(pattern).findall, {}
-        self.token = {r: b for b, r in ranks.items()}
+        self.merges, self.find, self.known = Merges(ranks), regex.compile(pattern).findall, {}
 
     def split(self, texts: list) -> list[list[str]]:
         return [self.find(t) if t else [] for t in texts]
 
     def learn(self, pieces: list[list[str]]) -> dict:
-        """Ids, as a tuple, of every distinct word of the pieces."""
-        distinct = set().union(*pieces)
+        """Of every distinct word of the pieces: ids, their number, decimal ids, decoded bytes."""
         known = self.known
+        distinct = set().union(*pieces)
         new = [w for w in distinct if w not in known]
-        found = dict(zip(new, map(tuple, replay([w.encode() for w in new], self.ranks)), strict=True))
-        if len(known) + len(found) > CACHE_WORDS:
-            found |= {w: known[w] for w in distinct if w in known}
-            self.known = {w: v for w, v in found.items() if len(w) <= CACHE_WORD_BYTES} if len(found) <= CACHE_WORDS else {}
-            return found
-        known |= {w: v for w, v in found.items() if len(w) <= CACHE_WORD_BYTES}
-        return {w: known.get(w) or found[w] for w in distinct}
+        gc.disable()  # nothing here forms cycles, and the many small tuples make collections slow
+        made = [v for a in range(0, len(new), REPLAY_WORDS) for v in replay([w.encode() for w in new[a : a + REPLAY_WORDS]], self.merges)]
+        if len(known) + len(new) > CACHE_WORDS:
+            known = {w: known[w] for w in distinct if w in known}
+        else:
+            known = known.copy() if len(new) > CACHE_WORDS else known
+        for w, v in zip(new, made, strict=True):
+            known[w] = (v, len(v), " ".join(map(str, v)), self.decode(v))
+        self.known = known if len(known) <= CACHE_WORDS else {}
+        gc.enable()
+        return known
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
+        return b"".join(map(self.merges.token.__getitem__, ids))
 
 
 def _slices(texts: list):
@@ -186,22 +208,14 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: list[str],
             for part, start in _slices(texts):
                 pieces = enc.split(part)
                 of = enc.learn(pieces)
-                decimal, raw = {}, {}
-                if digests:
-                    for w, v in of.items():
-                        decimal[w] = (" ".join(map(str, v)), len(v))
-                        raw[w] = enc.decode(v)
+                made = [[of[w] for w in p] for p in pieces]
                 cols = [batch.column(i).slice(start, len(part)) for i in range(len(keep))]
-                if digests:
-                    made = [[decimal[w] for w in p] for p in pieces]
-                    cols.append(pa.array([sum(n for _, n in m) for m in made], pa.int64()))
-                else:
-                    cols.append(pa.array([sum(len(of[w]) for w in p) for p in pieces], pa.int64()))
+                cols.append(pa.array([sum([m[1] for m in x]) for x in made], pa.int64()))
                 if ids:
-                    cols.append(pa.array([[i for w in p for i in of[w]] for p in pieces], pa.list_(pa.int32())))
+                    cols.append(pa.array([[i for m in x for i in m[0]] for x in made], pa.list_(pa.int32())))
                 if digests:
-                    cols.append(pa.array([hashlib.sha256(" ".join([s for s, _ in m]).encode()).hexdigest() for m in made], pa.string()))
-                    cols.append(pa.array([hashlib.sha256(b"".join([raw[w] for w in p])).hexdigest() for p in pieces], pa.string()))
+                    cols.append(pa.array([hashlib.sha256(" ".join([m[2] for m in x]).encode()).hexdigest() for x in made], pa.string()))
+                    cols.append(pa.array([hashlib.sha256(b"".join([m[3] for m in x])).hexdigest() for x in made], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.split(" ")[0].strip("`") for f in fields])
 
     return docs.select(*[f"`{c}`" for c in keep], f"`{text}`").mapInArrow(run, ", ".join(fields))
