@@ -30,5 +30,11 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85, bands=20)
 
 
-QUERIES = {"op2_lattice": op2_lattice, "op4_minhash": op4_minhash, "op6_bpe": op6_bpe}
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.passages import repeated_passages
+
+    return repeated_passages(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_passages": op9_passages, "op2_lattice": op2_lattice, "op4_minhash": op4_minhash, "op6_bpe": op6_bpe}
 ORACLE_SQL: dict[str, str] = {}
