@@ -14,6 +14,8 @@ from lectern.llm.common import connected_components, hash_shingles, hash_words,
 #: Most shingles and documents that one task compares at a time; larger groups go in blocks.
 BLOCK_SHINGLES = 1_000_000
 BLOCK_DOCS = 1_000
+#: Bands that vote for a large group's leader.
+LEADER_BANDS = 6
 
 
 def _sets(texts: list, k: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -116,7 +118,7 @@ def _edges_of(k: int, percent: int):
 
 def _leaders(sigs: DataFrame, large: DataFrame) -> DataFrame:
     """cid, doc_id: of each large group the document whose band keys are most often the group's most frequent ones."""
-    bands = large.select("cid", "doc_id").join(sigs.select("doc_id", F.posexplode("bands").alias("band", "key")), "doc_id")
+    bands = large.select("cid", "doc_id").join(sigs.select("doc_id", F.posexplode(F.slice("bands", 1, LEADER_BANDS)).alias("band", "key")), "doc_id")
     n = bands.groupBy("cid", "band", "key").agg(F.count("*").alias("n"))
     mode = n.groupBy("cid", "band").agg(F.max_by("key", F.struct("n", "key")).alias("key"))
     agree = bands.join(mode, ["cid", "band", "key"]).groupBy("cid", "doc_id").agg(F.count("*").alias("n"))
