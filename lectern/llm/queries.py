@@ -42,5 +42,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op10_toxicity": op10_toxicity, "op9_passages": op9_passages, "op2_lattice": op2_lattice, "op4_minhash": op4_minhash, "op6_bpe": op6_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.topk import top_inner_products
+
+    return top_inner_products(read(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+QUERIES = {"op7_topk": op7_topk, "op10_toxicity": op10_toxicity, "op9_passages": op9_passages, "op2_lattice": op2_lattice, "op4_minhash": op4_minhash, "op6_bpe": op6_bpe}
+ORACLE_SQL: dict[str, str] = {"op7_topk": OP7_SQL}
