@@ -87,5 +87,11 @@ SELECT d.doc_id, d.source, number // 16 AS block, number // 16 // share * cycle
 FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source AND number // 16 % share = j
 """
 
-QUERIES = {"op3_pfair": op3_pfair, "op7_topk": op7_topk, "op10_toxicity": op10_toxicity, "op9_passages": op9_passages, "op2_lattice": op2_lattice, "op4_minhash": op4_minhash, "op6_bpe": op6_bpe}
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.quality import quality_scores
+
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op5_quality": op5_quality, "op3_pfair": op3_pfair, "op7_topk": op7_topk, "op10_toxicity": op10_toxicity, "op9_passages": op9_passages, "op2_lattice": op2_lattice, "op4_minhash": op4_minhash, "op6_bpe": op6_bpe}
 ORACLE_SQL: dict[str, str] = {"op3_pfair": OP3_SQL, "op7_topk": OP7_SQL}
