@@ -1,12 +1,65 @@
-"""The corpus pipeline: quality, near-duplicates, repeated passages, mixing, encoding."""
+"""The corpus pipeline: quality, near-duplicates, repeated passages, mixing, encoding.
+
+Each stage is a function of (spark, docs, sf_dir); what it returns is written as Parquet and read
+again as the next stage's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.llm.bpe import encode_documents
+from lectern.llm.common import spill
+from lectern.llm.minhash import near_duplicates
+from lectern.llm.mixing import mix, target_weights
+from lectern.llm.passages import cut_passages, repeated_passages
+from lectern.llm.quality import accepted_documents
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; the others go."""
+    return accepted_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near-duplicates, and those without an id."""
+    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    kept = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("gone"), "left_anti").dropDuplicates(["doc_id"])
+    return kept.unionAll(docs.where("doc_id is null"))
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier document holds; n_chars follows the text."""
+    return cut_passages(docs, repeated_passages(docs)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the mix: files by range of it, rows sorted in each file."""
+    mixed = mix(docs, target_weights(docs), keep=docs.columns)
+    return mixed.repartitionByRange("__slot", "__place").sortWithinPartitions("__slot", "__place").select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and the place in the mix: file_name and row_index, null if docs aren't files."""
+    if docs.inputFiles():
+        docs = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index"))
+    else:
+        docs = docs.select("doc_id", "text", F.lit(None).cast("string").alias("file_name"), F.lit(None).cast("long").alias("row_index"))
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return encode_documents(docs, path, public_tokenizers.PATTERN, ["doc_id", "file_name", "row_index"])
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("mixing", mixing), ("encoding", encoding)]
 
-STAGES: list = []
+#: SQL can't express these stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents; each but the last is written in the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = spill(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
