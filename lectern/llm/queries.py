@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.llm.licenses import oracle_sql as license_sql
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -93,5 +95,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op5_quality": op5_quality, "op3_pfair": op3_pfair, "op7_topk": op7_topk, "op10_toxicity": op10_toxicity, "op9_passages": op9_passages, "op2_lattice": op2_lattice, "op4_minhash": op4_minhash, "op6_bpe": op6_bpe}
-ORACLE_SQL: dict[str, str] = {"op3_pfair": OP3_SQL, "op7_topk": OP7_SQL}
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.licenses import scan_licenses
+
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_licenses": op1_licenses, "op5_quality": op5_quality, "op3_pfair": op3_pfair, "op7_topk": op7_topk, "op10_toxicity": op10_toxicity, "op9_passages": op9_passages, "op2_lattice": op2_lattice, "op4_minhash": op4_minhash, "op6_bpe": op6_bpe}
+ORACLE_SQL: dict[str, str] = {"op1_licenses": license_sql(), "op3_pfair": OP3_SQL, "op7_topk": OP7_SQL}
