@@ -101,5 +101,50 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_licenses": op1_licenses, "op5_quality": op5_quality, "op3_pfair": op3_pfair, "op7_topk": op7_topk, "op10_toxicity": op10_toxicity, "op9_passages": op9_passages, "op2_lattice": op2_lattice, "op4_minhash": op4_minhash, "op6_bpe": op6_bpe}
-ORACLE_SQL: dict[str, str] = {"op1_licenses": license_sql(), "op3_pfair": OP3_SQL, "op7_topk": OP7_SQL}
+def captures(pages: DataFrame) -> DataFrame:
+    """Crawl records made from pages: at 10 * page_id the full response, and for two of three pages a
+    revisit 10,005 later, whose etag is the page's for one and another for the other."""
+    from pyspark.sql import functions as F
+
+    p = pages.select("page_id", "url", F.md5("html").alias("md5"), F.length("html").alias("n"))
+    etag = F.concat(F.lit('"'), F.col("md5"), F.lit('"'))
+    full = p.select(
+        (2 * F.col("page_id")).alias("id"), "url", (10 * F.col("page_id")).alias("ts"), F.lit("response").alias("kind"), etag.alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.col("md5").alias("digest"),
+        F.create_map(F.lit("content-length"), F.col("n").cast("string"), F.lit("date"), (10 * F.col("page_id")).cast("string"), F.lit("etag"), etag).alias("headers"),
+    )
+    other = F.when(F.col("page_id") % 3 == 1, F.concat(F.lit("W/"), etag)).otherwise(F.lit('"gone"'))
+    again = p.where("page_id % 3 <> 0").select(
+        (2 * F.col("page_id") + 1).alias("id"), "url", (10 * F.col("page_id") + 10_005).alias("ts"), F.lit("revisit").alias("kind"), other.alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("string").alias("digest"),
+        F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), (10 * F.col("page_id") + 10_005).cast("string")).alias("headers"),
+    )
+    return full.unionAll(again)
+
+
+def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lectern.llm.warc import resolve_revisits
+
+    out = resolve_revisits(captures(read(spark, sf_dir, "pages")))
+    header = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
+    return out.withColumn("headers", header)
+
+
+OP8_SQL = r"""
+WITH p AS (SELECT page_id, url, md5(html) AS md5, length(html) AS n FROM pages),
+c AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM p),
+k AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), '^[^@]*@', ''), ':(80|443)$', ''), '^www\.', '')
+    || regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS base,
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'),
+    lambda q: q <> '' AND NOT list_contains(['fbclid', 'gclid', 'ref', 'utm_campaign', 'utm_content', 'utm_medium', 'utm_source', 'utm_term'], regexp_extract(q, '^([^=]*)', 1)))), '&') AS params FROM c),
+r AS (SELECT page_id, base || CASE WHEN params <> '' THEN '?' || params ELSE '' END AS url, md5, n FROM k),
+v AS (SELECT 2 * page_id + 1 AS id, url, 10 * page_id + 10005 AS ts, CASE WHEN page_id % 3 = 1 THEN '"' || md5 || '"' ELSE '"gone"' END AS etag FROM r WHERE page_id % 3 <> 0),
+j AS (SELECT v.*, 2 * r.page_id AS response_id, 10 * r.page_id AS response_ts, r.md5, r.n FROM v LEFT JOIN r ON r.url = v.url AND 10 * r.page_id < v.ts
+  QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY r.page_id DESC NULLS LAST) = 1),
+o AS (SELECT *, CASE WHEN response_id IS NULL THEN 'missing' WHEN '"' || md5 || '"' = etag THEN 'resolved' ELSE 'mismatch' END AS outcome FROM j)
+SELECT id, url, ts, response_id, response_ts, CASE WHEN outcome = 'resolved' THEN md5 END AS digest,
+  CASE WHEN outcome = 'resolved' THEN 'content-length: ' || n || '; date: ' || ts || '; etag: "' || md5 || '"' END AS headers, outcome FROM o
+"""
+
+QUERIES = {"op8_revisits": op8_revisits, "op1_licenses": op1_licenses, "op5_quality": op5_quality, "op3_pfair": op3_pfair, "op7_topk": op7_topk, "op10_toxicity": op10_toxicity, "op9_passages": op9_passages, "op2_lattice": op2_lattice, "op4_minhash": op4_minhash, "op6_bpe": op6_bpe}
+ORACLE_SQL: dict[str, str] = {"op8_revisits": OP8_SQL, "op1_licenses": license_sql(), "op3_pfair": OP3_SQL, "op7_topk": OP7_SQL}
