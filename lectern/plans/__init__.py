@@ -1,4 +1,6 @@
 """Registered queries over the shared tables, with their SQL equivalents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lectern.plans import aggregates, joins, lifecycle, ranking, sampling, texts
+from lectern.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "joins", "lifecycle", "ranking", "sampling", "texts"]
