@@ -1,8 +1,9 @@
 """Document quality: a classifier's evidence with host and path posteriors, by hierarchical empirical Bayes."""
 
-from __future__ import annotations
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,16 +82,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
 
 
 def _logits(docs: DataFrame, model, columns: list[str]) -> DataFrame:
-    """The columns, in which text may be one, and __logit; model: a broadcast classifier."""
+    """The columns, in which text may be one, and __logit; model: a broadcast classifier.
 
-    def run(batches):
-        for b in batches:
-            x = np.array([features(t) for t in b.column(len(columns)).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(model.value.logit(x) if len(x) else [], pa.float64())], names=[*columns, "__logit"])
+    Only texts go to Python and only logits come back; the rows wait in the JVM.
+    """
+
+    @F.pandas_udf("double")
+    def logit(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series(model.value.logit(np.array([features(t) for t in texts])) if len(texts) else [], dtype="float64")
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    own = [F.col(f"`{c}`") for c in columns]
-    return docs.select(*own, F.col("text").alias("__text")).mapInArrow(run, f"{kinds}, __logit double")
+    return docs.select(*[F.col(f"`{c}`") for c in columns], logit("text").alias("__logit"))
 
 
 def _sites(scored: DataFrame, strength: float) -> DataFrame:
