@@ -54,11 +54,11 @@ def leader_gap(t):
     return R.gap_to_leader(runs(t), ["candidate"], "score", 50.0).select("candidate", "o_orderkey", "gap", "close")
 
 
-@query(_RUNS + " SELECT candidate, o_orderkey, score > lag(score) OVER w AS rising, round(sum(score * 1000) OVER w, 1) AS running FROM o WINDOW w AS (PARTITION BY candidate ORDER BY epoch)")
+@query(_RUNS + " SELECT candidate, o_orderkey, score > lag(score) OVER w AS rising, CAST(sum(CAST(round(score * 100000) AS BIGINT)) OVER w AS BIGINT) AS running FROM o WINDOW w AS (PARTITION BY candidate ORDER BY epoch)")
 def rising_scores(t):
     """Comparison with the epoch before, and running totals."""
     w = Window.partitionBy("candidate").orderBy("epoch")
-    return runs(t).select("candidate", "o_orderkey", (F.col("score") > F.lag("score").over(w)).alias("rising"), F.round(F.sum(F.col("score") * 1000).over(w.rowsBetween(Window.unboundedPreceding, 0)), 1).alias("running"))
+    return runs(t).select("candidate", "o_orderkey", (F.col("score") > F.lag("score").over(w)).alias("rising"), F.sum(F.round(F.col("score") * 100000).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("running"))
 
 
 @query("""WITH g AS (SELECT user_id, event_id, value, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS module FROM events)
