@@ -6,9 +6,13 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges that one task contracts at a time.
+EDGES = 1_000_000
+
 _MASK = (1 << 64) - 1
 
 
@@ -128,29 +132,54 @@ def text_batches(texts: list, most: int = 2_000_000):
         yield start, len(texts)
 
 
+def _contract(batches):
+    """Of the edges of one task: each id with the smallest one that they connect it to."""
+    got = [(np.asarray(x.column(0)), np.asarray(x.column(1))) for x in batches if len(x)]
+    if not got:
+        return
+    a, b = (np.concatenate(x) for x in zip(*got, strict=True))
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y, low = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while True:  # hook the roots of each edge on the smaller one, then point everything at its root
+        p, q = low[x], low[y]
+        if (p == q).all():
+            break
+        np.minimum.at(low, np.maximum(p, q), np.minimum(p, q))
+        while (low[low] != low).any():
+            low = low[low]
+    rest = np.flatnonzero(low != np.arange(len(ids)))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[rest]), pa.array(ids[low[rest]])], names=["a", "b"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest id reachable, for each id in edges (a, b): columns id, component.
 
-    Alternates large-star and small-star steps, each two aggregations and joins over all edges, so
-    that the rounds grow with the logarithm of the size; no id's neighbours meet in one row. Null
-    ends and loops are dropped; ids without an edge don't appear.
+    Edges are contracted in parts of about EDGES: each part leaves its ids' links to the smallest one
+    that the part connects them to. While there are several parts, a large-star and a small-star step
+    over all edges follow (aggregations and joins, so no id's neighbours meet in one row), and parts
+    are contracted again, until nothing changes; with one part nothing is left to do. Null ends and
+    loops are dropped; ids without an edge don't appear.
     """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    e, last = spill(e), None
+    e, last = spill(edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a > b")), None
     while True:
+        parts = max(1, -(-e.count() // EDGES))
+        stars = spill(e.coalesce(parts).mapInArrow(_contract, "a long, b long"))
+        drop_spill(e)
+        e = stars
+        if parts == 1:
+            break
+        mark = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if tuple(mark) == last:
+            break
+        last = tuple(mark)
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b"))).distinct()
-        nxt = spill(small)
-        mark = nxt.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        drop_spill(e)
-        e = nxt
-        if tuple(mark) == last:
-            break
-        last = tuple(mark)
+        e = spill(small)
+        drop_spill(stars)
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
