@@ -48,7 +48,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     - 'unchecked': it carries neither, or the response lacks the one that it carries;
     - 'mismatch': they differ; - 'missing': there is no earlier response.
     For resolved and unchecked ones digest and headers are the response's, headers with the revisit's
-    in their place except those that describe a body; else they are null.
+    in their place except those that describe a body (null ones count as empty); else they are null.
 
     Earlier means a smaller ts; of several at one ts the greatest id. Rows with a null url, ts or kind
     neither resolve nor serve: such revisits are 'missing'. Repeated rows resolve each. Other columns
@@ -78,15 +78,16 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     plain = lambda c: F.regexp_replace(c, "^W/", "")
     check = F.when(F.col("etag").isNotNull(), plain(F.col("r.etag")) == plain(F.col("etag"))).when(F.col("last_modified").isNotNull(), F.col("r.last_modified") == F.col("last_modified"))
     outcome = F.when(F.col("r").isNull(), "missing").when(check, "resolved").when(check.isNull(), "unchecked").otherwise("mismatch")
+    none = F.create_map().cast("map<string,string>")
     merged = F.map_concat(
-        F.map_filter(F.col("r.headers"), lambda k, _: k.isin(*BODY_HEADERS) | ~F.coalesce(F.array_contains(F.map_keys("headers"), k), F.lit(False))),
-        F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin(*BODY_HEADERS)),
+        F.map_filter(F.coalesce("r.headers", none), lambda k, _: k.isin(*BODY_HEADERS) | ~F.coalesce(F.array_contains(F.map_keys("headers"), k), F.lit(False))),
+        F.map_filter(F.coalesce("headers", none), lambda k, _: ~k.isin(*BODY_HEADERS)),
     )
     v = v.withColumn("outcome", outcome)
     fine = F.col("outcome").isin("resolved", "unchecked")
     out = v.select("id", "url", "ts", F.col("r.id").alias("response_id"), F.col("r.ts").alias("response_ts"), F.when(fine, F.col("r.digest")).alias("digest"), F.when(fine, merged).alias("headers"), "outcome")
-    none = lost.select("id", "url", "ts", F.lit(None).cast("long").alias("response_id"), F.lit(None).cast(r.schema["ts"].dataType).alias("response_ts"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("map<string,string>").alias("headers"), F.lit("missing").alias("outcome"))
-    return out.unionAll(none)
+    alone = lost.select("id", "url", "ts", F.lit(None).cast("long").alias("response_id"), F.lit(None).cast(r.schema["ts"].dataType).alias("response_ts"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("map<string,string>").alias("headers"), F.lit("missing").alias("outcome"))
+    return out.unionAll(alone)
 
 
 def _head(lines: list[bytes]) -> dict[str, str]:
