@@ -14,10 +14,10 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Words whose ids a Python worker keeps; beyond it the store is emptied, which changes only speed.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: Characters of text whose distinct words are looked up together, and distinct words in one replay,
 #: so few that their symbols stay in the processor's cache.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 REPLAY_WORDS = 1_000
 
 OUT = "n_tokens long, ids array<int>"
@@ -143,25 +143,24 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.merges, self.find, self.known = Merges(ranks), regex.compile(pattern).findall, {}
+        self.decimal = {r: str(r) for r in ranks.values()}
 
     def split(self, texts: list) -> list[list[str]]:
         return [self.find(t) if t else [] for t in texts]
 
     def learn(self, pieces: list[list[str]]) -> dict:
-        """Of every distinct word of the pieces: ids, their number, decimal ids, decoded bytes."""
+        """Ids of every distinct word of the pieces, and of others."""
         known = self.known
         distinct = set().union(*pieces)
         new = [w for w in distinct if w not in known]
-        gc.disable()  # nothing here forms cycles, and the many small tuples make collections slow
-        made = [v for a in range(0, len(new), REPLAY_WORDS) for v in replay([w.encode() for w in new[a : a + REPLAY_WORDS]], self.merges)]
         if len(known) + len(new) > CACHE_WORDS:
             known = {w: known[w] for w in distinct if w in known}
-        else:
-            known = known.copy() if len(new) > CACHE_WORDS else known
-        for w, v in zip(new, made, strict=True):
-            known[w] = (v, len(v), " ".join(map(str, v)), self.decode(v))
-        self.known = known if len(known) <= CACHE_WORDS else {}
+        gc.disable()  # nothing here forms cycles, and the many small tuples make collections slow
+        for a in range(0, len(new), REPLAY_WORDS):
+            part = new[a : a + REPLAY_WORDS]
+            known.update(zip(part, replay([w.encode() for w in part], self.merges), strict=True))
         gc.enable()
+        self.known = known if len(known) <= CACHE_WORDS else {}
         return known
 
     def decode(self, ids) -> bytes:
@@ -208,14 +207,14 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: list[str],
             for part, start in _slices(texts):
                 pieces = enc.split(part)
                 of = enc.learn(pieces)
-                made = [[of[w] for w in p] for p in pieces]
+                made = [[i for w in p for i in of[w]] for p in pieces]
                 cols = [batch.column(i).slice(start, len(part)) for i in range(len(keep))]
-                cols.append(pa.array([sum([m[1] for m in x]) for x in made], pa.int64()))
+                cols.append(pa.array([len(x) for x in made], pa.int64()))
                 if ids:
-                    cols.append(pa.array([[i for m in x for i in m[0]] for x in made], pa.list_(pa.int32())))
+                    cols.append(pa.array(made, pa.list_(pa.int32())))
                 if digests:
-                    cols.append(pa.array([hashlib.sha256(" ".join([m[2] for m in x]).encode()).hexdigest() for x in made], pa.string()))
-                    cols.append(pa.array([hashlib.sha256(b"".join([m[3] for m in x])).hexdigest() for x in made], pa.string()))
+                    cols.append(pa.array([hashlib.sha256(" ".join(map(enc.decimal.__getitem__, x)).encode()).hexdigest() for x in made], pa.string()))
+                    cols.append(pa.array([hashlib.sha256(enc.decode(x)).hexdigest() for x in made], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.split(" ")[0].strip("`") for f in fields])
 
     return docs.select(*[f"`{c}`" for c in keep], f"`{text}`").mapInArrow(run, ", ".join(fields))
