@@ -13,8 +13,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from lectern.llm.common import small_batches
+
 #: Words whose ids a Python worker keeps; beyond it the store is emptied, which changes only speed.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 #: Characters of text whose distinct words are looked up together, and distinct words in one replay,
 #: so few that their symbols stay in the processor's cache.
 BATCH_CHARS = 2_000_000
@@ -197,6 +199,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: list[str],
     ids_sha256 is of the decimal ids joined by one space, decoded_sha256 of the bytes that decoding
     the ids gives, both in lower-case hex. Other columns are dropped, so their names can't clash.
     """
+    small_batches(docs)
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_tokens long"]
     fields += ["ids array<int>"] * ids + ["ids_sha256 string", "decoded_sha256 string"] * digests
 

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Edges that one task contracts at a time.
 EDGES = 1_000_000
 
+#: Texts that go to Python at a time.
+TEXT_ROWS = 1_000
+
 _MASK = (1 << 64) - 1
 
 
@@ -35,6 +38,18 @@ def spill(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> None:
+    """Have texts go to Python at most TEXT_ROWS at a time, in this session, from now on.
+
+    Spark's own number suits narrow rows; of whole texts so many fill the memory of a small executor
+    several times over, in the JVM's buffers and in Python.
+    """
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name)) > TEXT_ROWS or int(conf.get(name)) <= 0:
+        conf.set(name, str(TEXT_ROWS))
+
+
 def drop_spill(*frames: DataFrame) -> None:
     """Remove spilled tables that nothing will read again."""
     for df in frames:

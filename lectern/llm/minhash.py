@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import connected_components, hash_shingles, hash_words, link_forest, mix64, seeds, spill, text_batches
+from lectern.llm.common import connected_components, hash_shingles, hash_words, link_forest, mix64, seeds, small_batches, spill, text_batches
 
 #: Most shingles and documents that one task compares at a time; larger groups go in blocks.
 BLOCK_SHINGLES = 1_000_000
@@ -144,6 +144,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     and a link of any of them is a link of the doc_id. Other columns are ignored. An empty table
     gives no rows.
     """
+    small_batches(docs)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     sigs = spill(signatures(docs, k, bands, perms))
     copies = sigs.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))

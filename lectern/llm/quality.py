@@ -3,12 +3,11 @@
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import spill
+from lectern.llm.common import small_batches, spill
 
 #: Most labelled rows that the classifier is fitted on, those with the least hash of doc_id.
 SAMPLE = 5_000
@@ -68,6 +67,7 @@ class Classifier:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     """From SAMPLE labelled documents at most; null ids or labels teach nothing."""
+    small_batches(docs)
     y = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     rows = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").select("doc_id", "text", "quality")
@@ -87,10 +87,11 @@ def _logits(docs: DataFrame, model, columns: list[str]) -> DataFrame:
     Only texts go to Python and only logits come back; the rows wait in the JVM.
     """
 
-    @F.pandas_udf("double")
-    def logit(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def logit(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            yield pd.Series(model.value.logit(np.array([features(t) for t in texts])) if len(texts) else [], dtype="float64")
+            x = np.array([features(t) for t in texts.to_pylist()])
+            yield pa.array(model.value.logit(x) if len(x) else [], pa.float64())
 
     return docs.select(*[F.col(f"`{c}`") for c in columns], logit("text").alias("__logit"))
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import small_batches
+
 #: Most labelled rows that are learnt from (those with the least hash), words and word beginnings
 #: that are features, examples that a block of the index holds, and neighbours that vote.
 SAMPLE, FEATURES, BLOCK, NEIGHBOURS = 6_000, 2_000, 64, 15
@@ -160,6 +162,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts score the base rate; null doc_ids give null held_out; repeated rows are
     scored each; without labels all score 0.5. Other columns are ignored; no rows give no rows.
     """
+    small_batches(docs)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(learn(docs, labels))
 
