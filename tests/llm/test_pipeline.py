@@ -45,7 +45,7 @@ def test_stages_take_empty_and_awkward_documents(spark, tmp_path):
                 docs = out
 
 
-@pytest.mark.parametrize("name", ["op1_licenses", "op3_pfair", "op7_topk", "op8_revisits"])
+@pytest.mark.parametrize("name", ["op1_licenses", "op2_lattice", "op3_pfair", "op4_minhash", "op7_topk", "op8_revisits"])
 def test_queries_match_sql(spark, sf_dir, name):
     import duckdb
 
