@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.functions import text as X
 
@@ -92,15 +93,16 @@ def tfidf_adjacent(docs: DataFrame, by: str, key: str) -> DataFrame:
     Weights are tf / tokens * idf with idf over the group. Vectors meet by (document, term), never as pairs
     of documents.
     """
-    w = docs.select(by, key, F.explode(X.tokens(F.col("text"))).alias("term")).groupBy(by, key, "term").agg(F.count("*").alias("tf"))
-    size = w.groupBy(by, key).agg(F.sum("tf").alias("len"))
+    from lectern.operators.sequences import number_rows, spread
+
+    terms = F.transform(X.tokens(F.col("text")), lambda t: F.xxhash64(t))  # terms only need to be told apart
+    w = spread(docs).select(by, key, F.explode(terms).alias("term")).groupBy(by, key, "term").agg(F.count("*").alias("tf"))
+    w = w.withColumn("len", F.sum("tf").over(Window.partitionBy(by, key)))  # one document's terms
     df = w.groupBy(by, "term").agg(F.count("*").alias("df"))
     n = docs.groupBy(by).agg(F.count("*").alias("docs"))
-    v = w.join(df, [by, "term"]).join(n, by).join(size, [by, key])
+    v = w.join(df, [by, "term"]).join(n, by)
     v = v.select(by, key, "term", (F.col("tf") / F.col("len") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1)).alias("x"))
     norm = v.groupBy(by, key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    from lectern.operators.sequences import number_rows
-
     order = number_rows(docs.select(by, key), [key], [by], "__n")
     nxt = order.select(F.col(by).alias("b2"), F.col(key).alias("next_id"), (F.col("__n") - 1).alias("n2"))
     pair = order.join(nxt, F.expr(f"`{by}` = b2 and __n = n2")).select(by, key, "next_id")

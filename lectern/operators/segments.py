@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lectern.functions.sentences import scan_sentences
+from lectern.operators.sequences import spread
 
 # fixed values: aims and limits of a segment in words
 TARGET, LEAST, MOST = 650, 450, 850
@@ -107,7 +108,7 @@ SEGMENT = "doc_id long, segment_id int, first_sentence int, last_sentence int, w
 def segment_documents(docs: DataFrame) -> DataFrame:
     """Segments of each text, with counts, content and an extractive summary; null or blank texts have none.
 
-    Every sentence is in one segment, in order. Rows are independent: no shuffle; a task holds a batch.
+    Every sentence is in one segment, in order. Rows are independent; only a table of fewer partitions than cores is dealt out.
     """
 
     def run(batches):
@@ -126,4 +127,4 @@ def segment_documents(docs: DataFrame) -> DataFrame:
                 names = [f.split(" ")[0] for f in SEGMENT.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SEGMENT)
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, SEGMENT)

@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if it has fewer: a small file is one partition,
+    whose rows may each need much work. Tables larger than the cluster are left as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def number_rows(df: DataFrame, order: list[str], by: list[str] | None = None, name: str = "number") -> DataFrame:
     """Rows numbered from 0 in the order of unique keys, within each group of `by` if given.
 
