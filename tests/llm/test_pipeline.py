@@ -71,3 +71,58 @@ def test_minhash_query_matches_brute_force(spark, sf_dir):
     sets = shingle_sets([(r.doc_id, r.text) for r in docs], 3)
     want = brute_components(sets, 85)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op4_minhash"](spark, sf_dir).collect()} == {i: (len(s), want[i]) for i, s in sets.items()}
+
+
+def test_passage_query_finds_every_verbatim_run(spark, sf_dir):
+    """Documents that share 50 words in a row with an earlier one are all found; what else is found is similar."""
+    import re
+
+    from lectern.llm.queries import QUERIES
+
+    words = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", r.text.lower()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    seen, want = set(), set()
+    for i in sorted(words):
+        runs = {tuple(words[i][a : a + 50]) for a in range(len(words[i]) - 49)}
+        if runs & seen:
+            want.add(i)
+        seen |= runs
+    rows = QUERIES["op9_passages"](spark, sf_dir).collect()
+    assert want <= {r.doc_id for r in rows}
+    for r in rows:
+        a, b = words[r.doc_id][r.start_word : r.start_word + r.n_words], words[r.source_doc_id][r.source_start_word :]
+        x = {tuple(a[i : i + 5]) for i in range(len(a) - 4)}
+        y = {tuple(b[i : i + 5]) for i in range(int(len(a) * 1.3) - 4)}
+        assert r.source_doc_id < r.doc_id and r.n_words >= 48 and len(x & y) >= 0.8 * len(x)
+
+
+def test_encoding_query_matches_tiktoken(spark, sf_dir):
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+
+    from lectern.llm.bpe import load_ranks
+    from lectern.llm.queries import QUERIES
+
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = QUERIES["op6_bpe"](spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = enc.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+
+
+def test_classifiers_on_held_out_labels(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.1"
+    y = spark.read.parquet(f"{sf}/labels.parquet")
+    t = QUERIES["op10_toxicity"](spark, sf).where("held_out").join(y, "doc_id")
+    r = t.agg(F.count_if((F.col("toxic") == 1) & (F.col("predicted") == 1)).alias("tp"), F.count_if(F.col("toxic") == 1).alias("p"), F.count_if((F.col("toxic") == 0) & (F.col("predicted") == 1)).alias("fp"), F.count_if(F.col("toxic") == 0).alias("n")).first()
+    assert r.tp >= 0.8 * r.p and r.fp <= 0.01 * r.n
+    q = QUERIES["op5_quality"](spark, sf).join(y, "doc_id").groupBy(y["quality"]).agg(F.avg(F.col("accepted").cast("int")).alias("rate"))
+    rates = {r[0]: r.rate for r in q.collect()}
+    assert rates[1] >= 0.99 and rates[0] <= 0.05
