@@ -185,3 +185,64 @@ def reservoir(t):
     """A reservoir of thirty rows, kept by hash order so that any number of tasks can share it."""
     d = t.documents.select("doc_id", X.word_count(F.col("text"), "nonblank").alias("words"))
     return S.simple_sample(d, 30, 7, "doc_id")
+
+
+@query("WITH a AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, lead(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) OVER (PARTITION BY label ORDER BY vec_id) AS f FROM embeddings) SELECT label, vec_id AS after_id, round(1 - list_dot_product(e, f) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(f, f))), 6) AS strength FROM a WHERE f IS NOT NULL")
+def topic_boundaries(t):
+    """Boundary strength after each block: 1 less the cosine with the next one of its group."""
+    from lectern.operators.sequences import cosine, number_rows
+
+    d = number_rows(t.embeddings.select("label", "vec_id", "embedding"), ["vec_id"], ["label"], "n")
+    nxt = d.select(F.col("label").alias("l2"), (F.col("n") - 1).alias("n2"), F.col("embedding").alias("f"))
+    j = d.join(nxt, F.expr("label = l2 and n = n2"))
+    return j.select("label", F.col("vec_id").alias("after_id"), F.round(1 - cosine(F.col("embedding"), F.col("f")), 6).alias("strength"))
+
+
+@query("""WITH l AS (SELECT page_id, generate_subscripts(h, 1) AS pos, unnest(h) AS tag FROM (SELECT page_id, regexp_extract_all(html, '<(h[1-6]|p)>', 1) AS h FROM pages))
+SELECT page_id, count(*) AS blocks, count(*) FILTER (WHERE tag <> 'p') AS headings, CAST(coalesce(sum(CASE WHEN pos > 1 AND tag IN ('h1', 'h2') THEN 1.5 WHEN pos > 1 AND tag <> 'p' THEN 1.2 ELSE 0 END), 0) AS DOUBLE) AS strength FROM l GROUP BY page_id""")
+def heading_boundaries(t):
+    """Boundaries before headings: 1.5 for the first two levels, else 1.2."""
+    l = t.pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<(h[1-6]|p)>"), F.lit(1))).alias("pos", "tag"))
+    strength = F.when((F.col("pos") > 0) & F.col("tag").isin("h1", "h2"), 1.5).when((F.col("pos") > 0) & (F.col("tag") != "p"), 1.2).otherwise(0.0)
+    return l.groupBy("page_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("tag") != "p").alias("headings"), F.sum(strength).alias("strength"))
+
+
+@query("WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS k FROM documents) SELECT doc_id, CAST(len(k) AS INTEGER) AS points, md5(array_to_string(k, '|')) AS digest, k[1][1:60] AS overall FROM p")
+def key_points(t):
+    """Points stripped, blank ones dropped, and the first as the overall fallback."""
+    k = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return t.documents.select("doc_id", k.alias("k")).select("doc_id", F.size("k").alias("points"), F.md5(F.array_join("k", "|")).alias("digest"), F.left(F.get("k", F.lit(0)), F.lit(60)).alias("overall"))
+
+
+@query("SELECT c_custkey, '{\"name\":\"' || c_name || '\",\"segment\":\"' || c_mktsegment || '\",\"nation\":' || c_nationkey || '}' AS json FROM customer")
+def compact_json(t):
+    """Records as compact JSON with a fixed order of keys."""
+    return t.customer.select("c_custkey", F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))).alias("json"))
+
+
+@query("""WITH e AS (SELECT l_suppkey AS run, l_linenumber AS epoch, count(*) AS parsed, CAST(sum(l_orderkey % 3) AS BIGINT) AS failures FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY parsed DESC, failures, epoch) AS rn FROM e),
+s AS (SELECT *, max(CASE WHEN rn = 2 THEN parsed END) OVER (PARTITION BY run) AS second FROM r)
+SELECT run, epoch, parsed, failures, CAST(rn AS INTEGER) AS rank FROM s WHERE rn <= 2 OR (rn = 3 AND second - parsed <= 1)""")
+def top_epochs(t):
+    """The two best epochs of a run, and a third within one of the second."""
+    e = t.lineitem.groupBy(F.col("l_suppkey").alias("run"), F.col("l_linenumber").alias("epoch")).agg(F.count("*").alias("parsed"), F.sum(F.col("l_orderkey") % 3).alias("failures"))
+    w = Window.partitionBy("run").orderBy(F.desc("parsed"), "failures", "epoch")
+    r = e.withColumn("rank", F.row_number().over(w)).withColumn("second", F.max(F.when(F.col("rank") == 2, F.col("parsed"))).over(Window.partitionBy("run")))
+    return r.where((F.col("rank") <= 2) | ((F.col("rank") == 3) & (F.col("second") - F.col("parsed") <= 1))).drop("second")
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(lower(text), '(in conclusion|to conclude|overall)') THEN 'conclusion' WHEN regexp_matches(lower(text), '(this essay|this article|this paper|introduces)') THEN 'introduction' WHEN regexp_matches(lower(text), '(method|procedure|participants)') THEN 'method' WHEN regexp_matches(lower(text), '(results|findings|table)') THEN 'result' ELSE 'general' END AS kind FROM documents")
+def segment_types(t):
+    """Kind of a segment by the first rule that holds."""
+    from lectern.operators.gates import first_reason
+
+    c = F.lower("text")
+    rules = {"conclusion": "(in conclusion|to conclude|overall)", "introduction": "(this essay|this article|this paper|introduces)", "method": "(method|procedure|participants)", "result": "(results|findings|table)"}
+    return t.documents.select("doc_id", F.coalesce(first_reason({k: c.rlike(p) for k, p in rules.items()}), F.lit("general")).alias("kind"))
+
+
+@query("SELECT o_orderkey, greatest(o_custkey, o_orderkey % 1000) AS attempts, coalesce(nullif(trim(CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE o_orderpriority END), ''), o_orderstatus) AS filled FROM orders")
+def merged_counters(t):
+    """The greater of two counters, and the first value that isn't blank."""
+    first = F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise(F.col("o_orderpriority"))
+    return t.orders.select("o_orderkey", F.greatest("o_custkey", F.col("o_orderkey") % 1000).alias("attempts"), F.coalesce(F.nullif(F.trim(first), F.lit("")), F.col("o_orderstatus")).alias("filled"))
