@@ -89,9 +89,14 @@ def test_compact_windows_match_brute_force():
             assert set(zip(doc.tolist(), c.tolist(), lo.tolist(), hi.tolist(), strict=True)) == want
 
 
-def test_passages_find_verbatim_runs(spark):
+@pytest.mark.parametrize("common", [8, 2])
+def test_passages_find_verbatim_runs(spark, common, monkeypatch):
+    from lectern.llm import passages
     from lectern.llm.passages import cut_passages, repeated_passages
 
+    monkeypatch.setattr(passages, "COMMON", common)
+    monkeypatch.setattr(passages, "COMBINED", 50 * common)
+
     p, q = edge.words(60, 70, 9_000), edge.words(30, 71, 9_000)
     rows = [(i, f"{edge.words(80, 100 + i, 9_000)} {p if i % 2 else q} {edge.words(80, 200 + i, 9_000)}", "en", "s") for i in range(12)]
     found = repeated_passages(edge.documents(spark, rows))
