@@ -1,6 +1,6 @@
 """Registered queries over the shared tables, with their SQL equivalents."""
 
-from lectern.plans import aggregates, documents, joins, lifecycle, ranking, records, sampling, texts
+from lectern.plans import aggregates, documents, joins, lifecycle, predicates, ranking, records, sampling, texts
 from lectern.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "documents", "joins", "lifecycle", "ranking", "records", "sampling", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "documents", "joins", "lifecycle", "predicates", "ranking", "records", "sampling", "texts"]
