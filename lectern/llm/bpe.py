@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 
 from lectern.llm.common import small_batches
 
-#: Words whose ids a Python worker keeps; beyond it the store is emptied, which changes only speed.
-CACHE_WORDS = 200_000
+#: Words whose ids a Python worker keeps during a task; more or fewer change only speed.
+CACHE_WORDS = 500_000
 #: Characters of text whose distinct words are looked up together, and distinct words in one replay,
 #: so few that their symbols stay in the processor's cache.
 BATCH_CHARS = 2_000_000
@@ -141,29 +141,45 @@ def replay(words: list[bytes], merges: Merges) -> list[tuple[int, ...]]:
 
 
 class Encoder:
-    """Encodes batches of texts; remembers the ids of short words between batches."""
+    """Encodes batches of texts; remembers words of earlier ones in two generations.
+
+    Words are looked up in the young generation, then in the old one, from which they move to the young.
+    When the young one is full it becomes the old one. So words that keep coming stay.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.merges, self.find, self.known = Merges(ranks), regex.compile(pattern).findall, {}
+        self.merges, self.find = Merges(ranks), regex.compile(pattern).findall
         self.decimal = {r: str(r) for r in ranks.values()}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def split(self, texts: list) -> list[list[str]]:
         return [self.find(t) if t else [] for t in texts]
 
     def learn(self, pieces: list[list[str]]) -> dict:
         """Ids of every distinct word of the pieces, and of others."""
-        known = self.known
-        distinct = set().union(*pieces)
-        new = [w for w in distinct if w not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known = {w: known[w] for w in distinct if w in known}
+        if len(self.young) > CACHE_WORDS // 2:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = []
+        for w in set().union(*pieces):
+            if w not in young:
+                v = old.get(w)
+                if v is None:
+                    new.append(w)
+                else:
+                    young[w] = v
         gc.disable()  # nothing here forms cycles, and the many small tuples make collections slow
         for a in range(0, len(new), REPLAY_WORDS):
             part = new[a : a + REPLAY_WORDS]
-            known.update(zip(part, replay([w.encode() for w in part], self.merges), strict=True))
+            young.update(zip(part, replay([w.encode() for w in part], self.merges), strict=True))
         gc.enable()
-        self.known = known if len(known) <= CACHE_WORDS else {}
-        return known
+        return young
+
+    def rest(self) -> None:
+        """Between tasks: keep short words only, so that an idle worker holds little."""
+        self.young = {w: v for w, v in self.young.items() if len(w) <= 8}
+        self.old = {}
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.merges.token.__getitem__, ids))
@@ -219,6 +235,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: list[str],
                     cols.append(pa.array([hashlib.sha256(" ".join(map(enc.decimal.__getitem__, x)).encode()).hexdigest() for x in made], pa.string()))
                     cols.append(pa.array([hashlib.sha256(enc.decode(x)).hexdigest() for x in made], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.split(" ")[0].strip("`") for f in fields])
+        enc.rest()
 
     return docs.select(*[f"`{c}`" for c in keep], f"`{text}`").mapInArrow(run, ", ".join(fields))
 
