@@ -20,7 +20,7 @@ CACHE_WORDS = 500_000
 #: Characters of text whose distinct words are looked up together, and distinct words in one replay,
 #: so few that their symbols stay in the processor's cache.
 BATCH_CHARS = 2_000_000
-REPLAY_WORDS = 1_000
+REPLAY_WORDS = 400
 
 OUT = "n_tokens long, ids array<int>"
 
