@@ -92,10 +92,10 @@ def best_windows(t):
 SELECT doc_id, CASE WHEN t[1].s >= 1 AND t[1].s - t[2].s >= 4 THEN t[1].n END AS domain FROM s""")
 def scored_domains(t):
     """Domain by scores, with a margin over the second."""
-    c, n = F.col("text"), lambda p: (F.regexp_count(F.col("text"), F.lit(p)) > 50).cast("int")
-    del c
+    many = lambda p: (F.regexp_count("text", F.lit(p)) > 50).cast("int")
     lang = lambda *v: F.col("lang").isin(*v).cast("int")
-    return t.documents.select("doc_id", L.classify({"english": 4 * lang("en") + 2 * n("th"), "german": 4 * lang("de") + 2 * n("ch"), "romance": 4 * lang("fr", "es")}, 1, 4).alias("domain"))
+    scores = {"english": 4 * lang("en") + 2 * many("th"), "german": 4 * lang("de") + 2 * many("ch"), "romance": 4 * lang("fr", "es")}
+    return t.documents.select("doc_id", L.classify(scores, 1, 4).alias("domain"))
 
 
 @query("SELECT event_id, coalesce(TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT), -1) AS number, coalesce(TRY_CAST(event_type AS DOUBLE), 0.0) AS lenient, round(100.0 * user_id / (user_id + event_id + 1), 6) AS percent FROM events")
