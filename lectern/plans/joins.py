@@ -24,10 +24,10 @@ def missing_ids(t):
     return t.documents.select("doc_id").subtract(t.labels.select("doc_id"))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 3 = 0 INTERSECT SELECT doc_id FROM labels")
+@query("SELECT doc_id FROM documents WHERE lang = 'en' INTERSECT SELECT doc_id FROM labels")
 def common_ids(t):
     """Ids in both of two sets."""
-    return t.documents.where("doc_id % 3 = 0").select("doc_id").intersect(t.labels.select("doc_id"))
+    return t.documents.where("lang = 'en'").select("doc_id").intersect(t.labels.select("doc_id"))
 
 
 @query("SELECT o_custkey AS id FROM orders UNION SELECT c_custkey FROM customer UNION SELECT user_id FROM events")
@@ -36,11 +36,11 @@ def all_ids(t):
     return t.orders.select(F.col("o_custkey").alias("id")).union(t.customer.select("c_custkey")).union(t.events.select("user_id")).distinct()
 
 
-@query("SELECT CASE WHEN l.o_orderkey IS NULL THEN 'right_only' WHEN r.o_orderkey IS NULL THEN 'left_only' WHEN l.o_custkey IS NOT DISTINCT FROM r.o_custkey AND l.o_orderstatus IS NOT DISTINCT FROM r.s THEN 'matched' ELSE 'differs' END AS status, count(*) AS n FROM (SELECT * FROM orders WHERE o_orderkey % 10 <> 1) l FULL JOIN (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 10 <> 2) r USING (o_orderkey) GROUP BY 1")
+@query("SELECT CASE WHEN l.o_orderkey IS NULL THEN 'right_only' WHEN r.o_orderkey IS NULL THEN 'left_only' WHEN l.o_custkey IS NOT DISTINCT FROM r.o_custkey AND l.o_orderstatus IS NOT DISTINCT FROM r.s THEN 'matched' ELSE 'differs' END AS status, count(*) AS n FROM (SELECT * FROM orders WHERE o_orderpriority <> '1-URGENT') l FULL JOIN (SELECT o_orderkey, o_custkey, CASE WHEN o_totalprice > 200000 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderpriority <> '5-LOW') r USING (o_orderkey) GROUP BY 1")
 def alignment(t):
     """Two copies of a table side by side: matched, differing and one-sided rows."""
-    left = t.orders.where("o_orderkey % 10 <> 1")
-    right = t.orders.where("o_orderkey % 10 <> 2").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus")))
+    left = t.orders.where("o_orderpriority <> '1-URGENT'")
+    right = t.orders.where("o_orderpriority <> '5-LOW'").withColumn("o_orderstatus", F.when(F.col("o_totalprice") > 200_000, "X").otherwise(F.col("o_orderstatus")))
     return R.align(left, right, "o_orderkey", ["o_custkey", "o_orderstatus"])
 
 
@@ -50,11 +50,12 @@ def labels_with_default(t):
     return R.with_default(t.documents.select("doc_id"), t.labels, "doc_id", {"quality": -1, "toxic": -1})
 
 
-@query("SELECT o_orderkey AS key, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority WHEN o_orderkey % 4 = 1 THEN 'NEW' ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 4 < 3")
+@query("SELECT o_orderkey AS key, CASE WHEN o_orderstatus = 'O' AND o_totalprice <= 100000 THEN 'NEW' ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')")
 def upsert_keep(t):
     """Upsert: blank new values don't overwrite old ones, absent keys are added."""
-    old = t.orders.where("o_orderkey % 4 < 2").select(F.col("o_orderkey").alias("key"), "o_orderpriority")
-    new = t.orders.where("o_orderkey % 4 < 3").select(F.col("o_orderkey").alias("key"), F.when(F.col("o_orderkey") % 4 == 0, " ").when(F.col("o_orderkey") % 4 == 1, "NEW").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
+    old = t.orders.where("o_orderstatus in ('F', 'O')").select(F.col("o_orderkey").alias("key"), "o_orderpriority")
+    value = F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority")).when(F.col("o_totalprice") > 100_000, " ").otherwise("NEW")
+    new = t.orders.where("o_orderstatus in ('O', 'P')").select(F.col("o_orderkey").alias("key"), value.alias("o_orderpriority"))
     return R.merge_keep(old, new, "key", ["o_orderpriority"])
 
 
