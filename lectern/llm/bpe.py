@@ -147,8 +147,8 @@ class Encoder:
     When the young one is full it becomes the old one. So words that keep coming stay.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.merges, self.find = Merges(ranks), regex.compile(pattern).findall
+    def __init__(self, ranks: dict[bytes, int], pattern: str, digests: bool = False):
+        self.merges, self.find, self.digests = Merges(ranks), regex.compile(pattern).findall, digests
         self.decimal = {r: str(r) for r in ranks.values()}
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
@@ -157,7 +157,8 @@ class Encoder:
         return [self.find(t) if t else [] for t in texts]
 
     def learn(self, pieces: list[list[str]]) -> dict:
-        """Ids of every distinct word of the pieces, and of others."""
+        """Ids of every distinct word of the pieces, and of others; for digests with their number, the
+        decimal ids and what they decode to."""
         if len(self.young) > CACHE_WORDS // 2:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
@@ -172,7 +173,10 @@ class Encoder:
         gc.disable()  # nothing here forms cycles, and the many small tuples make collections slow
         for a in range(0, len(new), REPLAY_WORDS):
             part = new[a : a + REPLAY_WORDS]
-            young.update(zip(part, replay([w.encode() for w in part], self.merges), strict=True))
+            made = replay([w.encode() for w in part], self.merges)
+            if self.digests:
+                made = [(v, len(v), " ".join(map(self.decimal.__getitem__, v)), self.decode(v)) for v in made]
+            young.update(zip(part, made, strict=True))
         gc.enable()
         return young
 
@@ -199,11 +203,12 @@ def _slices(texts: list):
 _ENCODERS: dict = {}
 
 
-def _encoder(path: str, pattern: str) -> Encoder:
+def _encoder(path: str, pattern: str, digests: bool) -> Encoder:
     """One encoder for each vocabulary file in a Python worker; tasks that follow reuse it."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(load_ranks(path), pattern)
-    return _ENCODERS[path, pattern]
+    key = (path, pattern, digests)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(load_ranks(path), pattern, digests)
+    return _ENCODERS[key]
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text", ids: bool = True, digests: bool = False) -> DataFrame:
@@ -220,20 +225,25 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: list[str],
     fields += ["ids array<int>"] * ids + ["ids_sha256 string", "decoded_sha256 string"] * digests
 
     def run(batches):
-        enc = _encoder(path, pattern)
+        enc = _encoder(path, pattern, digests)
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
             for part, start in _slices(texts):
                 pieces = enc.split(part)
                 of = enc.learn(pieces)
-                made = [[i for w in p for i in of[w]] for p in pieces]
                 cols = [batch.column(i).slice(start, len(part)) for i in range(len(keep))]
-                cols.append(pa.array([len(x) for x in made], pa.int64()))
+                if digests:
+                    made = [[of[w] for w in p] for p in pieces]
+                    cols.append(pa.array([sum([m[1] for m in x]) for x in made], pa.int64()))
+                    flat = [[i for m in x for i in m[0]] for x in made] if ids else None
+                else:
+                    flat = [[i for w in p for i in of[w]] for p in pieces]
+                    cols.append(pa.array([len(x) for x in flat], pa.int64()))
                 if ids:
-                    cols.append(pa.array(made, pa.list_(pa.int32())))
+                    cols.append(pa.array(flat, pa.list_(pa.int32())))
                 if digests:
-                    cols.append(pa.array([hashlib.sha256(" ".join(map(enc.decimal.__getitem__, x)).encode()).hexdigest() for x in made], pa.string()))
-                    cols.append(pa.array([hashlib.sha256(enc.decode(x)).hexdigest() for x in made], pa.string()))
+                    cols.append(pa.array([hashlib.sha256(" ".join([m[2] for m in x if m[1]]).encode()).hexdigest() for x in made], pa.string()))
+                    cols.append(pa.array([hashlib.sha256(b"".join([m[3] for m in x])).hexdigest() for x in made], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.split(" ")[0].strip("`") for f in fields])
         enc.rest()
 
