@@ -106,6 +106,21 @@ def test_passages_find_verbatim_runs(spark, common, monkeypatch):
     assert p in cut[1] and all(p not in cut[i] and len(cut[i].split()) == 160 for i in (3, 5)) and cut[2] == rows[2][1]
 
 
+def test_passages_meet_later_documents_of_common_hashes(spark):
+    from lectern.llm.passages import repeated_passages
+
+    p = edge.words(60, 80, 9_000).split()
+    q = p[:25] + edge.words(10, 81, 9_000).split() + p[35:]
+    text = lambda i: " ".join([edge.words(80, 1_000 + i, 9_000), *(q if i in (101, 150) else p), edge.words(80, 2_000 + i, 9_000)])
+    docs = edge.documents(spark, [(i, text(i), "en", "s") for i in range(1, 151)])
+    got = collections.defaultdict(set)
+    for parts in (1, 7):
+        for r in repeated_passages(docs.repartition(parts)).collect():
+            if r.doc_id == 150 and r.source_doc_id == 101:
+                got[parts].update(range(r.start_word, r.start_word + r.n_words))
+        assert set(range(82, 138)) <= got[parts]
+
+
 def test_passages_awkward(spark):
     from lectern.llm.passages import cut_passages, repeated_passages
 
