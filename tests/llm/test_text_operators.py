@@ -121,6 +121,20 @@ def test_passages_meet_later_documents_of_common_hashes(spark):
         assert set(range(82, 138)) <= got[parts]
 
 
+def test_passages_compare_the_same_whatever_the_layout(spark, monkeypatch):
+    from lectern.llm import passages
+    from lectern.llm.passages import repeated_passages
+
+    line, p = edge.words(30, 90, 9_000), edge.words(30, 91, 9_000)
+    ends = lambda i: f"{edge.words(60, 3_000 + i, 9_000)} {line} {p if i in (5, 25) else edge.words(30, 4_000 + i, 9_000)}"
+    docs = edge.documents(spark, [(i, ends(i), "en", "s") for i in range(30)])
+    found = []
+    for parts, rows in ((1, 400_000), (6, 400_000), (1, 100)):
+        monkeypatch.setattr(passages, "COMBINED", rows)
+        found.append({tuple(r) for r in repeated_passages(docs.repartition(parts, "doc_id")).collect()})
+    assert found[0] == found[1] == found[2] and (25, 5) in {x[:2] for x in found[0]}
+
+
 def test_passages_awkward(spark):
     from lectern.llm.passages import cut_passages, repeated_passages
 
