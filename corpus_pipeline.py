@@ -37,7 +37,7 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix: files by range of it, rows sorted in each file."""
-    mixed = mix(docs, target_weights(docs), keep=docs.columns)
+    mixed = mix(docs, target_weights(docs), keep=docs.columns, exact=True)
     return mixed.repartitionByRange("__slot", "__place").sortWithinPartitions("__slot", "__place").select(*docs.columns)
 
 

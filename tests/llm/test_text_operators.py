@@ -244,6 +244,25 @@ def test_mixing_keeps_all_and_stays_within_a_block(spark):
     assert len({(r.slot, r.place) for r in got}) == len(got) == 3_000
 
 
+def test_mixing_holds_the_weights_of_many_sources(spark):
+    from lectern.llm import mixing
+
+    rows = [(f"s{i:04}", 0.3 if i == 0 else 0.7 / 1_200, 900 if i == 0 else 2) for i in range(1_201)]
+    total = sum(w for _, w, _ in rows)
+    weight = {s: w / total for s, w, _ in rows}
+    plan = sorted((r.slot, r.source) for r in mixing.exact_schedule(spark.createDataFrame(rows, "source string, weight double, blocks long")).collect())
+    assert len(plan) == len({s for s, _ in plan}) == 900 + 2_400
+    at = collections.defaultdict(list)
+    for slot, s in plan:
+        at[s].append(slot)
+    for s, slots in at.items():
+        for b, slot in enumerate(slots):  # less than one from the weight before and after the block's slot
+            assert b > weight[s] * slot - 1 - 1e-6 and b + 1 < weight[s] * (slot + 1) + 1 + 1e-6
+    d = edge.documents(spark, [(i, "x", "en", f"s{i % 20 if i % 3 else 0}") for i in range(1_000)])
+    got = mixing.mix(d, mixing.target_weights(d), exact=True).collect()
+    assert len(got) == len({(r.slot, r.place) for r in got}) == 1_000
+
+
 def test_mixing_awkward(spark):
     from lectern.llm import mixing
 
