@@ -66,10 +66,17 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / F.size(F.array_union(a, b)))
 
 
+def title_classes(df: DataFrame, key: str, title: str, stop: list[str], shared: int = 3) -> DataFrame:
+    """Each row whose title has `shared` tokens, with the smallest key of the same token set, which stands for it in
+    `near_title_pairs`: key, representative. One aggregation and a join, so no class meets in one row."""
+    d = df.select(key, F.array_sort(token_set(F.col(title), stop)).alias("w")).where(F.size("w") >= shared)
+    return d.join(d.groupBy("w").agg(F.min(key).alias("representative")), "w").select(key, "representative")
+
+
 def near_title_pairs(df: DataFrame, key: str, title: str, stop: list[str], least: float = 0.8, shared: int = 3) -> DataFrame:
     """Pairs of rows whose titles' token sets reach a Jaccard similarity and share `shared` tokens.
 
-    Equal sets collapse first. Of a set's tokens in the order of rarity only so many need be looked up
+    Equal sets collapse to their smallest key first; `title_classes` has the rows that it stands for. Of a set's tokens in the order of rarity only so many need be looked up
     that two similar sets can't miss each other (prefix filter); pairs meet on those.
     """
     d = df.select(key, token_set(F.col(title), stop).alias("w")).withColumn("w", F.array_sort("w")).where(F.size("w") >= shared)

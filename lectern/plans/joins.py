@@ -123,6 +123,13 @@ def near_title_pairs(t):
     return R.near_title_pairs(d, "doc_id", "title", TITLE_STOP)
 
 
+@query(f"SELECT doc_id, min(doc_id) OVER (PARTITION BY w) AS representative FROM ({_TITLES}) WHERE len(w) >= 3")
+def near_title_classes(t):
+    """Documents with the one that stands for their first line's words in near_title_pairs."""
+    d = t.documents.select("doc_id", F.split("text", "\n")[0].alias("title"))
+    return R.title_classes(d, "doc_id", "title", TITLE_STOP)
+
+
 @query("""WITH w AS (SELECT source, doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z''-]*')) AS term FROM documents), f AS (SELECT source, doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
 v AS (SELECT source, doc_id, term, tf / CAST(sum(tf) OVER (PARTITION BY source, doc_id) AS DOUBLE) * (ln((1 + docs) / CAST(1 + count(*) OVER (PARTITION BY source, term) AS DOUBLE)) + 1) AS x FROM f JOIN (SELECT source, count(*) AS docs FROM documents GROUP BY source) USING (source)),
 n AS (SELECT source, doc_id, sqrt(sum(x * x)) AS norm FROM v GROUP BY ALL), p AS (SELECT source, doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS next_id FROM documents),

@@ -96,6 +96,14 @@ def test_numbers_without_a_single_task(spark):
     assert {(r.id, r.number) for r in number_rows(d, ["id"], ["g"]).collect()} == {(i, i // 3) for i in range(1_000)}
 
 
+def test_equal_titles_keep_their_class(spark):
+    from lectern.operators import reconcile as R
+
+    d = spark.createDataFrame([(1, "red green blue grey"), (2, "Grey blue, green red"), (3, "the red green"), (4, "red green blue grey pink"), (5, "pink grey red green blue")], "k long, t string")
+    assert {(r.k, r.representative) for r in R.title_classes(d, "k", "t", ["the"]).collect()} == {(1, 1), (2, 1), (4, 4), (5, 4)}
+    assert {(r.x, r.y) for r in R.near_title_pairs(d, "k", "t", ["the"]).collect()} == {(1, 4)}
+
+
 def test_drift_and_gates(spark):
     from lectern.operators import gates, state
 
