@@ -42,13 +42,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and the place in the mix: file_name and row_index, null if docs aren't files."""
+    """doc_id, n_tokens, ids, digests of the ids and of the bytes they decode to, and the place in the mix: file_name and row_index, null if docs aren't files."""
     if docs.inputFiles():
         docs = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index"))
     else:
         docs = docs.select("doc_id", "text", F.lit(None).cast("string").alias("file_name"), F.lit(None).cast("long").alias("row_index"))
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return encode_documents(docs, path, public_tokenizers.PATTERN, ["doc_id", "file_name", "row_index"])
+    return encode_documents(docs, path, public_tokenizers.PATTERN, ["doc_id", "file_name", "row_index"], digests=True)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("mixing", mixing), ("encoding", encoding)]

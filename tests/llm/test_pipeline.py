@@ -30,6 +30,17 @@ def test_stages(spark, sf_dir):
     assert c.run(spark, sf_dir).count() == seen["encoding"].count()
 
 
+def test_encoding_decodes_again(spark, sf_dir):
+    import hashlib
+
+    import corpus_pipeline as c
+    from tests.llm import edge
+
+    docs = edge.documents(spark, [(1, "Plain text, 12 words", "en", "s"), (2, "na\u00efve \u4f60\u597d\n", "en", "s")], extra=False)
+    want = {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in docs.collect()}
+    assert {r.doc_id: r.decoded_sha256 for r in c.encoding(spark, docs, sf_dir).collect()} == want
+
+
 def test_stages_take_empty_and_awkward_documents(spark, tmp_path):
     import corpus_pipeline as c
     from tests.llm import edge
