@@ -109,7 +109,7 @@ def test_passages_find_verbatim_runs(spark, common, monkeypatch):
 def test_passages_meet_later_documents_of_common_hashes(spark):
     from lectern.llm.passages import repeated_passages
 
-    p = edge.words(60, 80, 9_000).split()
+    p = edge.words(60, 854, 9_000).split()  # no least hash of q stands in its own words
     q = p[:25] + edge.words(10, 81, 9_000).split() + p[35:]
     text = lambda i: " ".join([edge.words(80, 1_000 + i, 9_000), *(q if i in (101, 150) else p), edge.words(80, 2_000 + i, 9_000)])
     docs = edge.documents(spark, [(i, text(i), "en", "s") for i in range(1, 151)])
@@ -125,8 +125,8 @@ def test_passages_compare_the_same_whatever_the_layout(spark, monkeypatch):
     from lectern.llm import passages
     from lectern.llm.passages import repeated_passages
 
-    line, p = edge.words(30, 90, 9_000), edge.words(30, 91, 9_000)
-    ends = lambda i: f"{edge.words(60, 3_000 + i, 9_000)} {line} {p if i in (5, 25) else edge.words(30, 4_000 + i, 9_000)}"
+    line, p = edge.words(42, 308, 9_000), edge.words(18, 91, 9_000)  # all least hashes stand in the line
+    ends = lambda i: f"{edge.words(60, 3_000 + i, 9_000)} {line} {p if i in (5, 25) else edge.words(18, 4_000 + i, 9_000)}"
     docs = edge.documents(spark, [(i, ends(i), "en", "s") for i in range(30)])
     found = []
     for parts, rows in ((1, 400_000), (6, 400_000), (1, 100)):
