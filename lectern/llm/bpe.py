@@ -13,13 +13,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lectern.llm.common import small_batches
+from lectern.llm.common import small_batches, tidy
 
 #: Words whose ids a Python worker keeps during a task; more or fewer change only speed.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: Characters of text whose distinct words are looked up together, and distinct words in one replay,
 #: so few that their symbols stay in the processor's cache.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 REPLAY_WORDS = 400
 
 OUT = "n_tokens long, ids array<int>"
@@ -171,19 +171,20 @@ class Encoder:
                 else:
                     young[w] = v
         gc.disable()  # nothing here forms cycles, and the many small tuples make collections slow
-        for a in range(0, len(new), REPLAY_WORDS):
-            part = new[a : a + REPLAY_WORDS]
-            made = replay([w.encode() for w in part], self.merges)
-            if self.digests:
-                made = [(v, len(v), " ".join(map(self.decimal.__getitem__, v)), self.decode(v)) for v in made]
-            young.update(zip(part, made, strict=True))
-        gc.enable()
+        try:
+            for a in range(0, len(new), REPLAY_WORDS):
+                part = new[a : a + REPLAY_WORDS]
+                made = replay([w.encode() for w in part], self.merges)
+                if self.digests:
+                    made = [(v, len(v), " ".join(map(self.decimal.__getitem__, v)), self.decode(v)) for v in made]
+                young.update(zip(part, made, strict=True))
+        finally:
+            gc.enable()
         return young
 
     def rest(self) -> None:
-        """Between tasks: keep short words only, so that an idle worker holds little."""
-        self.young = {w: v for w, v in self.young.items() if len(w) <= 8}
-        self.old = {}
+        """Between tasks: forget all words, so that an idle worker holds the merges only."""
+        self.young, self.old = {}, {}
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.merges.token.__getitem__, ids))
@@ -226,6 +227,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: list[str],
 
     def run(batches):
         enc = _encoder(path, pattern, digests)
+        enc.rest()
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
             for part, start in _slices(texts):
@@ -247,7 +249,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: list[str],
                 yield pa.RecordBatch.from_arrays(cols, names=[f.split(" ")[0].strip("`") for f in fields])
         enc.rest()
 
-    return docs.select(*[f"`{c}`" for c in keep], f"`{text}`").mapInArrow(run, ", ".join(fields))
+    return docs.select(*[f"`{c}`" for c in keep], f"`{text}`").mapInArrow(tidy(run), ", ".join(fields))
 
 
 def decode_ids(df: DataFrame, path: str, keep: list[str], ids: str = "ids") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -13,19 +14,33 @@ from pyspark.sql import functions as F
 #: Edges that one task contracts at a time.
 EDGES = 1_000_000
 
-#: Texts that go to Python at a time.
-TEXT_ROWS = 1_000
+#: Texts that go to Python at a time, and their bytes (a longer text goes alone).
+TEXT_ROWS, TEXT_BYTES = 1_000, 4 << 20
+
+#: Bytes of text whose words are found at a time.
+HASHED = 1 << 19
 
 _MASK = (1 << 64) - 1
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or in tests a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    """Folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a temporary folder; on a cluster that is an error, since
+    executors would not see each other's files.
+    """
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="lectern-")
+    return _LOCAL[app]
 
 
 def spill(df: DataFrame) -> DataFrame:
@@ -39,15 +54,36 @@ def spill(df: DataFrame) -> DataFrame:
 
 
 def small_batches(df: DataFrame) -> None:
-    """Have texts go to Python at most TEXT_ROWS at a time, in this session, from now on.
+    """Have texts go to Python at most TEXT_ROWS or about TEXT_BYTES at a time, in this session, from now on.
 
-    Spark's own number suits narrow rows; of whole texts so many fill the memory of a small executor
-    several times over, in the JVM's buffers and in Python.
+    Spark's own numbers suit narrow rows; of whole texts so many fill the memory of a small executor
+    several times over, in the JVM's buffers and in Python. Smaller settings stay.
     """
     conf = df.sparkSession.conf
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(conf.get(name)) > TEXT_ROWS or int(conf.get(name)) <= 0:
-        conf.set(name, str(TEXT_ROWS))
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BYTES)):
+        now = int(conf.get(name).rstrip("b"))
+        if now > most or now <= 0:
+            conf.set(name, str(most))
+
+
+def give_back() -> None:
+    """At the end of a Python task: hand freed memory to the system, since idle workers live on."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """A function for mapInArrow that gives memory back when its task ends."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
 
 
 def drop_spill(*frames: DataFrame) -> None:
@@ -90,31 +126,50 @@ with np.errstate(over="ignore"):
         _POW[_i] = _POW[_i - 1] * np.uint64(_P)
 
 
+def _hashed(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of a piece of text that no word leaves."""
+    gap = np.concatenate(([True], _SPACE[buf], [True]))
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, lens = edge[0::2], edge[1::2] - edge[0::2]
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        letters = _BYTE[buf[~gap[1:-1]]]
+        first = np.concatenate(([0], np.cumsum(lens)[:-1]))
+        at = np.arange(len(letters), dtype=np.int32 if len(letters) < 1 << 31 else np.int64)
+        at -= np.repeat(first.astype(at.dtype), lens)
+        letters *= _POW[at & 4095]
+        if len(lens) and lens.max() > 4096:
+            letters += (at >> 12).astype(np.uint64)
+        return starts, mix64(np.add.reduceat(letters, first) + lens.astype(np.uint64))
+
+
 def hash_words(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, and the offsets at which each text's words start.
 
     Words are maximal runs of bytes other than x20 and x09-x0D in UTF-8; A-Z count as a-z. A null
-    text has no words.
+    text has no words. Work goes in pieces of about HASHED bytes that end between words, so memory
+    beyond the result doesn't grow with a text's length.
     """
     parts = [b"" if t is None else t.encode("utf-8", "surrogatepass").lower() for t in texts]
-    data = b"\n".join(parts)
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    buf = np.frombuffer(data, np.uint8)
-    ends_of_text = np.cumsum(sizes + 1)
-    gap = np.concatenate(([True], _SPACE[buf], [True]))
-    edge = np.flatnonzero(gap[1:] != gap[:-1])
-    starts, ends = edge[0::2], edge[1::2]
-    offsets = np.concatenate(([0], np.searchsorted(starts, ends_of_text))).astype(np.int64)
-    if not len(starts):
-        return np.zeros(0, np.uint64), offsets
-    lens = ends - starts
-    with np.errstate(over="ignore"):
-        inside = ~gap[1:-1]
-        letters = _BYTE[buf[inside]]
-        first = np.concatenate(([0], np.cumsum(lens)[:-1]))
-        at = np.arange(len(letters)) - np.repeat(first, lens)
-        letters = letters * _POW[at & 4095] + (at >> 12).astype(np.uint64)
-        return mix64(np.add.reduceat(letters, first) + lens.astype(np.uint64)), offsets
+    ends_of_text = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+    buf = np.frombuffer(b"\n".join(parts), np.uint8)
+    starts, hashes, a = [], [], 0
+    while a < len(buf):
+        z = min(len(buf), a + HASHED)
+        while z < len(buf):  # on to the next gap
+            gap = np.flatnonzero(_SPACE[buf[z : z + 4096]])
+            z = min(len(buf), z + int(gap[0]) if len(gap) else z + 4096)
+            if len(gap):
+                break
+        at, made = _hashed(buf[a:z])
+        starts.append(at + a)
+        hashes.append(made)
+        a = z
+    if not starts:
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    offsets = np.concatenate(([0], np.searchsorted(np.concatenate(starts), ends_of_text))).astype(np.int64)
+    return np.concatenate(hashes), offsets
 
 
 def hash_shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -135,7 +190,7 @@ def hash_shingles(words: np.ndarray, k: int) -> np.ndarray:
         return mix64(out)
 
 
-def text_batches(texts: list, most: int = 2_000_000):
+def text_batches(texts: list, most: int = 500_000):
     """Slices of texts with about `most` characters each, at least one text in each."""
     start = total = 0
     for i, t in enumerate(texts):

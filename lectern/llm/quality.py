@@ -7,13 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import small_batches, spill
+from lectern.llm.common import give_back, small_batches, spill, tidy
 
 #: Most labelled rows that the classifier is fitted on, those with the least hash of doc_id.
 SAMPLE = 5_000
 STEPS, RIDGE = 40, 1.0
 #: Weight of a path's log-odds beside the document's own.
 PATH_WEIGHT = 0.25
+#: Bounds of the prior's weight in documents.
+LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1e6
 
 _CLASS = np.zeros(256, np.int64)  # 0 other, 1 letter, 2 blank, 3 digit, 4 sentence mark, 5 other ASCII mark, 6 capital
 _CLASS[list(b"abcdefghijklmnopqrstuvwxyz") + list(range(128, 256))] = 1
@@ -74,10 +76,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
 
     def shape(batches):
         for b in batches:
-            made = [features(t) for t in b.column(1).to_pylist()]
+            made = [features(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.float64())), b.column(2)], names=["doc_id", "x", "y"])
 
-    got = sorted(rows.mapInArrow(shape, "doc_id long, x array<double>, y int").collect())
+    got = sorted(rows.mapInArrow(tidy(shape), "doc_id long, x array<double>, y int").collect())
     return Classifier(np.array([r.x for r in got]).reshape(-1, len(FEATURES)), np.array([float(r.y > 0) for r in got]))
 
 
@@ -90,44 +92,69 @@ def _logits(docs: DataFrame, model, columns: list[str]) -> DataFrame:
     @F.arrow_udf("double")
     def logit(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            x = np.array([features(t) for t in texts.to_pylist()])
+            x = np.array([features(t.as_py()) for t in texts])
             yield pa.array(model.value.logit(x) if len(x) else [], pa.float64())
+        give_back()
 
     return docs.select(*[F.col(f"`{c}`") for c in columns], logit("text").alias("__logit"))
 
 
-def _sites(scored: DataFrame, strength: float) -> DataFrame:
+def strength_of(groups: DataFrame, parent: list[str]) -> DataFrame:
+    """strength, of one row: how many documents' weight a Beta prior over the groups' rates has, by moments.
+
+    groups: t, q, n (sum, sum of squares and number of each group's values in 0..1) and the parent that
+    a group belongs to. The variance between the groups of a parent is what the spread of their means has
+    beyond the values' own variance within groups (analysis of variance); a Beta prior of mean g and
+    that variance v has the weight g (1 - g) / v - 1. It is kept within LEAST_STRENGTH and
+    MOST_STRENGTH; where groups don't differ beyond chance, or no parent has two, it is the latter.
+    """
+    t, n = F.col("t"), F.col("n")
+    a = groups.groupBy(*parent).agg(F.count("*").alias("k"), F.sum(n).alias("m"), F.sum(t).alias("s"), F.sum(t * t / n).alias("b"), F.sum(F.col("q") - t * t / n).alias("w"), F.sum(n * n).alias("nn"))
+    own = F.col("b") - F.col("s") * F.col("s") / F.col("m")
+    a = a.agg(F.sum(F.col("k") - 1).alias("k"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.sum(own).alias("b"), F.sum("w").alias("w"), F.sum(F.col("m") - F.col("nn") / F.col("m")).alias("c"), F.sum("k").alias("all"))
+    g = F.col("s") / F.col("m")
+    within = F.when(F.col("m") > F.col("all"), F.greatest(F.col("w"), F.lit(0.0)) / (F.col("m") - F.col("all"))).otherwise(0.0)
+    between = F.when(F.col("k") > 0, (F.col("b") - F.col("k") * within) / F.col("c"))
+    made = F.when(between > 1e-12, g * (1 - g) / between - 1).otherwise(F.lit(MOST_STRENGTH))
+    return a.select(F.greatest(F.lit(LEAST_STRENGTH), F.least(F.lit(MOST_STRENGTH), made)).alias("strength"))
+
+
+def _sites(scored: DataFrame) -> DataFrame:
     """__h, __t, host_rate, path_rate, __shift from the logits of all documents of each site."""
     p = 1 / (1 + F.exp(-F.col("__logit")))
-    site = scored.groupBy("__h", "__t").agg(F.sum(p).alias("s"), F.count("*").alias("n"))
-    hosts = site.groupBy(F.col("__h").alias("__hh")).agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"))
+    site = spill(scored.groupBy("__h", "__t").agg(F.sum(p).alias("s"), F.sum(p * p).alias("q"), F.count("*").alias("n")))
+    hosts = site.groupBy(F.col("__h").alias("__hh")).agg(F.sum("s").alias("hs"), F.sum("q").alias("hq"), F.sum("n").alias("hn"))
     every = hosts.agg((F.sum("hs") / F.sum("hn")).alias("g"))
-    hosts = hosts.crossJoin(F.broadcast(every))  # one row
-    hosts = hosts.withColumn("host_rate", (F.col("hs") + strength * F.col("g")) / (F.col("hn") + strength))
+    above = strength_of(hosts.select(F.col("hs").alias("t"), F.col("hq").alias("q"), F.col("hn").alias("n")), []).select(F.col("strength").alias("hm"))
+    below = strength_of(site.select("__h", F.col("s").alias("t"), "q", "n"), ["__h"]).select(F.col("strength").alias("pm"))
+    one = spill(every.crossJoin(above).crossJoin(below))  # each of these has one row
+    hosts = hosts.crossJoin(F.broadcast(one)).withColumn("host_rate", (F.col("hs") + F.col("hm") * F.col("g")) / (F.col("hn") + F.col("hm")))
     site = site.join(hosts, F.expr("__h <=> __hh"))
-    site = site.withColumn("path_rate", (F.col("s") + strength * F.col("host_rate")) / (F.col("n") + strength))
+    site = site.withColumn("path_rate", (F.col("s") + F.col("pm") * F.col("host_rate")) / (F.col("n") + F.col("pm")))
     odds = lambda c: F.log(F.col(c) / (1 - F.col(c)))
     return spill(site.select("__h", "__t", "host_rate", "path_rate", (PATH_WEIGHT * (odds("path_rate") - odds("g"))).alias("__shift")))
 
 
-def _rated(docs: DataFrame, labels: DataFrame, host: str, path: str, strength: float, columns: list[str]) -> DataFrame:
+def _rated(docs: DataFrame, labels: DataFrame, host: str, path: str, columns: list[str]) -> DataFrame:
+    """The columns with logit, rates and quality; each text is looked at once, and its row written with its logit."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     site = docs.withColumns({"__h": F.col(host).cast("string"), "__t": F.col(path).cast("string")})
-    rates = _sites(_logits(site, model, ["__h", "__t"]), strength).select(F.col("__h").alias("__rh"), F.col("__t").alias("__rt"), "host_rate", "path_rate", "__shift")
-    scored = _logits(site, model, [*columns, "__h", "__t"])
-    out = scored.join(rates.withColumnsRenamed({"host_rate": "__host", "path_rate": "__path"}), F.expr("__h <=> __rh and __t <=> __rt"))
+    scored = spill(_logits(site, model, [*columns, "__h", "__t"]))
+    rates = _sites(scored).select(F.col("__h").alias("__rh"), F.col("__t").alias("__rt"), F.col("host_rate").alias("__host"), F.col("path_rate").alias("__path"), "__shift")
+    out = scored.join(rates, F.expr("__h <=> __rh and __t <=> __rt"))
     return out.withColumn("__quality", 1 / (1 + F.exp(-(F.col("__logit") + F.col("__shift")))))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", strength: float = 50.0) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """doc_id, host, path, logit, host_rate, path_rate, quality (0 to 1) and accepted.
 
     The classifier, fitted on a bounded sample of labelled documents, gives each document a logit.
     The sum of its probabilities over all documents is the global rate; a host's posterior mean
-    shrinks its own rate to the global one with `strength` documents' weight, a path's (host and
-    path) to its host's likewise, so sparse sites follow what is above them. The final logit adds what
-    the path's posterior says beyond the global rate, with PATH_WEIGHT, since the path's rate is
-    itself made of these documents. Accepted: quality of one half or more.
+    shrinks its own rate to the global one, a path's (host and path) to its host's likewise, so sparse
+    sites follow what is above them. How strongly is estimated from the sites (`strength_of`), for
+    hosts and for paths. The final logit adds what the path's posterior says beyond the global rate,
+    with PATH_WEIGHT, since the path's rate is itself made of these documents. Accepted: quality of one
+    half or more.
 
     Documents here have a source and a language for host and path; any two columns will do. Null
     hosts or paths form a site of their own. Null and empty texts are scored by their shape. Without
@@ -136,10 +163,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: str = "source", pat
     by partial aggregation, so a hot one is no burden; their rates are broadcast only where Spark
     finds them small.
     """
-    out = _rated(docs, labels, host, path, strength, ["doc_id"])
+    out = _rated(docs, labels, host, path, ["doc_id"])
     return out.select("doc_id", F.col("__h").alias("host"), F.col("__t").alias("path"), F.col("__logit").alias("logit"), F.col("__host").alias("host_rate"), F.col("__path").alias("path_rate"), F.col("__quality").alias("quality"), (F.col("__quality") >= 0.5).alias("accepted"))
 
 
-def accepted_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", strength: float = 50.0) -> DataFrame:
+def accepted_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """The rows of docs that quality_scores accepts, with all their columns; texts aren't shuffled."""
-    return _rated(docs, labels, host, path, strength, docs.columns).where("__quality >= 0.5").select(*[f"`{c}`" for c in docs.columns])
+    return _rated(docs, labels, host, path, docs.columns).where("__quality >= 0.5").select(*[f"`{c}`" for c in docs.columns])

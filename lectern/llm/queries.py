@@ -71,24 +71,24 @@ def op3_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = """
-WITH RECURSIVE w AS (SELECT source, sqrt(CAST(count(*) AS DOUBLE)) AS w FROM documents GROUP BY source),
-ideal AS (SELECT source, round(w / sum(w) OVER () * greatest(0, 1000 - count(*) OVER ()), 9) AS ideal, greatest(0, 1000 - count(*) OVER ()) AS free FROM w),
-ranked AS (SELECT source, floor(ideal) AS base, row_number() OVER (ORDER BY round(ideal - floor(ideal), 6) DESC, source NULLS FIRST) AS rank, free - sum(floor(ideal)) OVER () AS spare FROM ideal),
-share AS (SELECT source, CAST(1 + base + CASE WHEN rank <= spare THEN 1 ELSE 0 END AS BIGINT) AS share FROM ranked),
-one AS (SELECT list({'source': source, 'share': share} ORDER BY source NULLS FIRST) AS s, CAST(sum(share) AS BIGINT) AS cycle FROM share),
+WITH RECURSIVE c AS (SELECT source, count(*) AS n, sqrt(CAST(count(*) AS DOUBLE)) AS weight FROM documents GROUP BY source),
+k AS (SELECT source, CAST(greatest(1, round(weight / max(weight) OVER () * 1073741824)) AS BIGINT) AS w, CAST((n + 15) // 16 AS BIGINT) AS blocks FROM c),
+one AS (SELECT list({'source': source, 'w': w, 'blocks': blocks} ORDER BY source NULLS FIRST) AS s, CAST(sum(w) AS BIGINT) AS total FROM k),
+ends AS (SELECT list_reverse_sort(list_transform(s, lambda x: (x.blocks * total + x.w - 1) // x.w)) AS e FROM one),
 sim(slot, run, pick) AS (
   SELECT CAST(-1 AS BIGINT), list_transform(s, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS BIGINT) FROM one
   UNION ALL
   SELECT slot + 1, list_transform(run, lambda r, i: CASE WHEN i - 1 = p THEN r + 1 ELSE r END), p
-  FROM (SELECT slot, run, cycle, list_min(list_filter(list_transform(s, lambda x, i: CASE WHEN run[i] < x.share AND (run[i] * cycle) // x.share <= slot + 1
-      THEN {'late': ((run[i] + 1) * cycle + x.share - 1) // x.share, 'i': CAST(i - 1 AS BIGINT)} END), lambda y: y IS NOT NULL)).i AS p
-    FROM sim, one WHERE slot + 1 < cycle)),
-plan AS (SELECT s[pick + 1].source AS source, s[pick + 1].share AS share, slot, cycle, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS j FROM sim, one WHERE pick IS NOT NULL),
-d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS number FROM documents)
-SELECT d.doc_id, d.source, number // 16 AS block, number // 16 // share * cycle + slot AS slot, CAST(number % 16 AS INTEGER) AS place
-FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source AND number // 16 % share = j
+  FROM (SELECT slot, run, list_min(list_filter(list_transform(s, lambda x, i: CASE WHEN (run[i] * total) // x.w <= slot + 1
+      THEN {'late': ((run[i] + 1) * total + x.w - 1) // x.w, 'i': CAST(i - 1 AS BIGINT)} END), lambda y: y IS NOT NULL)).i AS p
+    FROM sim, one, ends WHERE slot + 1 < coalesce(e[2], e[1]))),
+plan AS (SELECT s[pick + 1].source AS source, slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS j FROM sim, one WHERE pick IS NOT NULL),
+d AS (SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1) AS number FROM documents)
+SELECT d.doc_id, d.source, number // 16 AS block, coalesce(slot, ((number // 16 + 1) * total + w - 1) // w - 1) AS slot, CAST(number % 16 AS INTEGER) AS place
+FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source CROSS JOIN one LEFT JOIN plan ON d.source IS NOT DISTINCT FROM plan.source AND number // 16 = j
 """
 
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.quality import quality_scores
 

@@ -34,6 +34,19 @@ def brute_components(sets, percent):
     return {i: find(i) for i in sets}
 
 
+def test_repeated_ids_with_other_texts(spark):
+    """A doc_id with several sets has the links of each of them; the pipeline's form keeps texts apart."""
+    from lectern.llm.minhash import near_duplicates, one_of_each_group
+
+    a, b, c, d = (edge.words(80, 900 + i) for i in range(4))
+    rows = [(1, a, "en", "s"), (2, b, "en", "s"), (9, a + " more", "en", "s"), (9, b, "en", "s"), (9, b.upper(), "en", "s"), (5, c, "en", "s"), (5, d, "en", "s"), (6, d, "en", "s"), (4, "", "en", "s"), (4, d + " end", "en", "s"), (None, a, "en", "s")]
+    docs = edge.documents(spark, rows)
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_duplicates(docs, k=3, percent=85, bands=20).collect()}
+    assert got == {(1, 78): (1, True), (2, 78): (1, False), (9, 79): (1, False), (9, 78): (1, False), (5, 78): (4, False), (6, 78): (4, False), (4, 0): (4, True), (4, 79): (4, True)}
+    kept = [(r.doc_id, r.text) for r in one_of_each_group(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (2, b), (5, c), (4, ""), (4, d + " end"), (None, a)], key=str)
+
+
 @pytest.mark.parametrize("block", [1_000, 3])
 def test_near_duplicates_match_brute_force(spark, block, monkeypatch):
     from lectern.llm import minhash
@@ -227,40 +240,46 @@ def test_toxicity(spark):
         assert [k for _, _, k in want] == [k for _, k in m.index.nearest(v, 15)]
 
 
-def test_mixing_keeps_all_and_stays_within_a_block(spark):
-    from lectern.llm import mixing
-
-    d = edge.documents(spark, [(i, "x", "en", "abc"[min(2, i % 7 // 3)]) for i in range(3_000)])
-    w = spark.createDataFrame([("a", 3.0), ("b", 2.0), ("c", 5.0)], "source string, weight double")
-    share = {r.source: r.share for r in mixing.shares(w).collect()}
-    assert share == {"a": 300, "b": 200, "c": 500}
-    plan = sorted((r.slot, r.source) for r in mixing.schedule(mixing.shares(w)).collect())
-    assert [s for s, _ in plan] == list(range(1_000))
-    run = collections.Counter()
+def off_by(plan, weight):
+    """Greatest distance of a source's blocks from its weight times the slots so far, before and after each of its blocks."""
+    at = collections.defaultdict(list)
     for slot, s in plan:
-        run[s] += 1
-        assert all(abs(run[x] - share[x] * (slot + 1) / 1_000) < 1 for x in share)
-    got = mixing.mix(d, w).collect()
-    assert len({(r.slot, r.place) for r in got}) == len(got) == 3_000
+        at[s].append(slot)
+    return max(max(abs(b - weight[s] * slot), abs(b + 1 - weight[s] * (slot + 1))) for s, slots in at.items() for b, slot in enumerate(slots))
 
 
-def test_mixing_holds_the_weights_of_many_sources(spark):
+@pytest.mark.parametrize(("sources", "first", "most"), [(3, 0.5, 400), (50, 0.5, 300), (200, 0.9, 120), (1_200, 0.9, 40)])
+def test_mixing_holds_the_weights(spark, sources, first, most):
+    """Unequal weights of few and many sources: less than one block from the weight itself, in every prefix."""
     from lectern.llm import mixing
 
-    rows = [(f"s{i:04}", 0.3 if i == 0 else 0.7 / 1_200, 900 if i == 0 else 2) for i in range(1_201)]
-    total = sum(w for _, w, _ in rows)
-    weight = {s: w / total for s, w, _ in rows}
-    plan = sorted((r.slot, r.source) for r in mixing.exact_schedule(spark.createDataFrame(rows, "source string, weight double, blocks long")).collect())
-    assert len(plan) == len({s for s, _ in plan}) == 900 + 2_400
-    at = collections.defaultdict(list)
-    for slot, s in plan:
-        at[s].append(slot)
-    for s, slots in at.items():
-        for b, slot in enumerate(slots):  # less than one from the weight before and after the block's slot
-            assert b > weight[s] * slot - 1 - 1e-6 and b + 1 < weight[s] * (slot + 1) + 1 + 1e-6
-    d = edge.documents(spark, [(i, "x", "en", f"s{i % 20 if i % 3 else 0}") for i in range(1_000)])
-    got = mixing.mix(d, mixing.target_weights(d), exact=True).collect()
-    assert len(got) == len({(r.slot, r.place) for r in got}) == 1_000
+    rest = [1 + i % 7 for i in range(1, sources)]
+    weight = {"s0": first, **{f"s{i + 1}": (1 - first) * w / sum(rest) for i, w in enumerate(rest)}}
+    blocks = {s: 1 if s != "s1" and sources > 200 else max(1, round(w * most)) for s, w in weight.items()}
+    table = spark.createDataFrame([(s, w, blocks[s]) for s, w in weight.items()], "source string, weight double, blocks long")
+    whole = mixing.whole_weights(table)
+    if sources > 200:  # short sources but one, so that the fold ends early
+        blocks = dict.fromkeys(blocks, 1) | {"s0": most}
+        table = table.withColumn("blocks", (table.source == "s0").cast("long") * (most - 1) + 1)
+    plan = sorted((r.slot, r.source) for r in mixing.schedule(whole.join(table.select("source", "blocks"), "source")).collect())
+    assert len(plan) == len({slot for slot, _ in plan}) and off_by(plan, weight) < 1 + 1e-6
+    got = collections.Counter(s for _, s in plan)
+    assert sum(got[s] < n for s, n in blocks.items()) <= 1  # only the last source may have blocks left
+
+
+def test_mixing_keeps_all_documents(spark, monkeypatch):
+    from lectern.llm import mixing
+
+    d = edge.documents(spark, [(i, "x", "en", "abc"[min(2, i % 7 // 3)]) for i in range(3_000)])
+    w = spark.createDataFrame([("a", 3.0), ("b", 2.0), ("c", 5.0)], "source string, weight double")
+    for slots in (1 << 18, 64):  # few slots make larger blocks
+        monkeypatch.setattr(mixing, "SLOTS", slots)
+        got = mixing.mix(d, w).collect()
+        assert len({(r.slot, r.place, r.source) for r in got}) == len(got) == 3_000
+        share = {"a": 0.3, "b": 0.2, "c": 0.5}
+        ends = {s: max(r.slot for r in got if r.source == s) for s in share}
+        plan = sorted({(r.slot, r.source) for r in got if r.slot <= min(ends.values())})
+        assert off_by(plan, share) < 1 + 1e-6 and len(plan) == len({s for s, _ in plan})
 
 
 def test_mixing_awkward(spark):
