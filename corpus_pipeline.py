@@ -7,12 +7,13 @@ again as the next stage's docs. All but the last return the columns of documents
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.bpe import encode_documents
 from lectern.llm.common import spill
-from lectern.llm.minhash import near_duplicates
+from lectern.llm.minhash import one_of_each_group
 from lectern.llm.mixing import mix, target_weights
 from lectern.llm.passages import cut_passages, repeated_passages
 from lectern.llm.quality import accepted_documents
@@ -24,10 +25,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates, and those without an id."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("gone"), "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionAll(docs.where("doc_id is null"))
+    """The document of the smallest id of each group of near-duplicates, and those without an id.
+
+    Of rows that repeat a kept id, one of each text stays.
+    """
+    return one_of_each_group(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,18 +39,19 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix: files by range of it, rows sorted in each file."""
-    mixed = mix(docs, target_weights(docs), keep=docs.columns, exact=True)
+    mixed = mix(docs, target_weights(docs), keep=docs.columns)
     return mixed.repartitionByRange("__slot", "__place").sortWithinPartitions("__slot", "__place").select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, digests of the ids and of the bytes they decode to, and the place in the mix: file_name and row_index, null if docs aren't files."""
-    if docs.inputFiles():
-        docs = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index"))
-    else:
-        docs = docs.select("doc_id", "text", F.lit(None).cast("string").alias("file_name"), F.lit(None).cast("long").alias("row_index"))
+    """doc_id, n_tokens, ids, digests of the ids and of the bytes they decode to, and the place in the mix: file_name and row_index, null if docs isn't a plain scan of files."""
+    try:
+        placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index"))
+        placed.schema  # noqa: B018  resolves the names
+    except AnalysisException:  # derived rows have no place in a file
+        placed = docs.select("doc_id", "text", F.lit(None).cast("string").alias("file_name"), F.lit(None).cast("long").alias("row_index"))
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return encode_documents(docs, path, public_tokenizers.PATTERN, ["doc_id", "file_name", "row_index"], digests=True)
+    return encode_documents(placed, path, public_tokenizers.PATTERN, ["doc_id", "file_name", "row_index"], digests=True)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("mixing", mixing), ("encoding", encoding)]
