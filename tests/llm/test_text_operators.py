@@ -148,6 +148,75 @@ def test_passages_compare_the_same_whatever_the_layout(spark, monkeypatch):
     assert found[0] == found[1] == found[2] and (25, 5) in {x[:2] for x in found[0]}
 
 
+def near_copy(words, edits, seed):
+    """The words with some replaced, spread evenly."""
+    out = list(words)
+    for n in range(edits):
+        out[int((n + 0.5) * len(out) / edits)] = f"edit{seed}x{n}"
+    return out
+
+
+def runs_of(words):
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_passages_find_near_copies_whatever_the_layout(spark):
+    """Passages of 140 words at Jaccard 0.80 to 0.93, alone and in groups with a frequent line: nine of ten are found."""
+    from lectern.llm.passages import repeated_passages
+
+    line = edge.words(20, 77, 9_000)
+    rows, pairs, doc = [], [], 1
+    for g in range(60):
+        p = edge.words(140, 5_000 + g, 9_000).split()
+        if g % 2:
+            p[50:70] = line.split()  # a line that all of these hold
+        q = near_copy(p, 1 + g % 3, g)
+        x, y = runs_of(p), runs_of(q)
+        assert len(x & y) >= 0.8 * len(x | y)
+        for w in (p, q):
+            rows.append((doc, " ".join([edge.words(60, 7_000 + doc, 9_000), *w, edge.words(60, 8_000 + doc, 9_000)]), "en", "s"))
+            doc += 1
+        pairs.append((doc - 1, doc - 2))
+    docs = edge.documents(spark, rows)
+    found = []
+    for parts in (1, 4, 16):
+        found.append({tuple(r) for r in repeated_passages(docs.repartition(parts, "doc_id")).collect()})
+    assert found[0] == found[1] == found[2]
+    assert len({x[:2] for x in found[0]} & set(pairs)) >= 0.9 * len(pairs)
+    words = {r[0]: r[1].split() for r in rows}
+    for b, a, start, n, where, j in found[0]:
+        x = runs_of(words[b][start : start + n])
+        assert j >= 0.8 and (b, a) in pairs and len(x & runs_of(words[a])) >= 0.8 * len(x)
+
+
+def test_passages_of_common_hashes_meet_beyond_the_first(spark, monkeypatch):
+    """An edited passage that two later documents share, not word for word, while many hold another form of it."""
+    from lectern.llm import passages
+    from lectern.llm.passages import repeated_passages
+
+    p = edge.words(60, 854, 9_000).split()
+    q = p[:12] + edge.words(30, 81, 9_000).split() + p[42:]  # too unlike p
+    r = near_copy(q, 1, 9)  # one word in sixty: like q, and no run of fifty is the same
+    text = lambda i: " ".join([edge.words(80, 1_000 + i, 9_000), *(q if i == 20 else r if i == 40 else p), edge.words(80, 2_000 + i, 9_000)])
+    docs = edge.documents(spark, [(i, text(i), "en", "s") for i in range(1, 45)])
+    assert len(runs_of(q) & runs_of(r)) >= 0.8 * len(runs_of(q) | runs_of(r)) and len(runs_of(p) & runs_of(r)) < 0.6 * len(runs_of(p))
+    for compared in (1_000, 7):
+        monkeypatch.setattr(passages, "COMPARED", compared)
+        assert 20 in {x.source_doc_id for x in repeated_passages(docs).collect() if x.doc_id == 40}
+
+
+def test_similar_spans_align_repeats_to_their_own_place():
+    from lectern.llm.passages import similar_spans
+
+    rng = np.random.default_rng(5)
+    line, x, y = (rng.integers(0, 1 << 62, n).astype(np.uint64) for n in (30, 60, 60))
+    a = np.concatenate((line, x, line, y))  # the line stands twice
+    (lo, hi, where, j), *rest = similar_spans(a, np.concatenate((line, y)), 46, 0.8, 90)
+    assert (lo, hi, where, j) == (0, 89, 90, 1.0) and not rest
+    same = np.full(100, 7, np.uint64)
+    assert similar_spans(same, same, 46, 0.8)[0][:2] == (0, 99)
+
+
 def test_passages_awkward(spark):
     from lectern.llm.passages import cut_passages, repeated_passages
 
