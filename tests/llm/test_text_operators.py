@@ -291,23 +291,60 @@ def test_quality_rejects_junk(spark):
 
 
 def test_toxicity(spark):
-    from lectern.llm.toxicity import Counter, Model, score_toxicity, words_of
+    from lectern.llm.toxicity import Counter, Model, score_toxicity
 
     d, y = edge.documents(spark), edge.labels(spark)
     got = score_toxicity(d, y).collect()
     assert len(got) == d.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
     assert {r.score for r in score_toxicity(d, edge.labels(spark, [])).collect()} == {0.5}
     assert score_toxicity(edge.documents(spark, []), y).collect() == []
-    rows = [(i, edge.words(40, i) + (" vilebad" + "abc"[i % 3] if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(300)]
+    rows = [(i, Counter((edge.words(40, i) + (" vilebad" + "abc"[i % 3] if i % 5 == 0 else "")).split()), int(i % 5 == 0)) for i in range(300)]
     m = Model(rows)
-    assert m.score(edge.words(40, 999) + " vilebadz")[0] > 0.9 and m.score(edge.words(40, 998))[0] < 0.5
-    for _, t, _ in rows[:60]:  # block-max search against all examples
-        v = m.vector(Counter(words_of(t)))
-        full = np.zeros(len(m.index.ids))
-        for k, w in v.items():
-            full[m.index.at[k]] += w * m.index.weight[k]
-        want = sorted((-round(s, 12), int(i), k) for k, (s, i) in enumerate(zip(full, m.index.ids, strict=True)) if s > 0)[:15]
-        assert [k for _, _, k in want] == [k for _, k in m.index.nearest(v, 15)]
+    assert m.score(Counter((edge.words(40, 999) + " vilebadz").split()))[0] > 0.9 and m.score(Counter(edge.words(40, 998).split()))[0] < 0.5
+
+
+def brute_votes(rows, words):
+    """The vote for a document by full cosine with all examples, after the definition; rows: id, word counts, label."""
+    import math
+
+    from lectern.llm import toxicity as T
+
+    n, base = len(rows), (sum(y for _, _, y in rows) + 0.5) / (len(rows) + 1)
+    m = T.Model(rows)  # for which terms are lifted only
+    df = collections.Counter(f for _, w, _ in rows for f in {f for x in w for f in T.features_of(x)})
+    lifted = {f for f, i in m.terms.items() if m.weight[i] > 1.5 * (math.log((1 + n) / (1 + df[f])) + 1)}
+
+    def vector(w):
+        tf = collections.Counter()
+        for x, k in w.items():
+            tf[x] += k
+            for f in T.features_of(x)[1:]:
+                tf[f] += k if f in lifted else 0
+        v = {f: (1 + math.log(k)) * (math.log((1 + n) / (1 + df[f])) + 1) * (T.LIFT if f in lifted else 1) for f, k in tf.items() if k}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {f: x / norm for f, x in v.items()}
+
+    q = vector(words)
+    scored = []
+    for i, w, y in rows:
+        v = vector(w)
+        scored.append((-round(sum(x * v.get(f, 0.0) for f, x in q.items()), 6), i, y))
+    near = [x for x in sorted(scored) if x[0] < 0][: T.NEIGHBOURS]
+    weights = [x[0] ** 2 for x in near]
+    return (sum(w * x[2] for w, x in zip(weights, near, strict=True)) + T.PRIOR * base) / (sum(weights) + T.PRIOR), [x[1] for x in near[:3]]
+
+
+def test_toxicity_votes_match_full_search(monkeypatch):
+    from lectern.llm import toxicity as T
+
+    monkeypatch.setattr(T, "BLOCK", 8)
+    text = lambda i: edge.words(10 + i % 50, i, 60 + 400 * (i % 2)) + (" vilebad" + "abc"[i % 3] if i % 5 == 0 else "")
+    rows = [(i, T.Counter(text(i).split()), int(i % 5 == 0)) for i in range(200)]
+    m = T.Model(rows)
+    for i in (*range(0, 40), 777, 778, 779):
+        words = T.Counter(text(i).split())
+        (got, near), (want, order) = m.vote(words), brute_votes(rows, words)
+        assert abs(got - want) < 1e-4 and (near == order or i > 700)
 
 
 def off_by(plan, weight):
