@@ -269,6 +269,18 @@ def test_licenses(spark):
         assert 2 * len(rest) / (len(p) + len(rest)) < 0.8
 
 
+def test_sibling_licences_keep_their_names(spark):
+    from lectern.llm.licenses import TEMPLATES, scan_licenses
+
+    names = ["GPL-2.0-notice", "GPL-3.0-notice", "LGPL-2.1-notice", "LGPL-3.0-notice", "AGPL-3.0-notice", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-SA-4.0-sentence", "CC-BY-NC-4.0-sentence", "GPL-2.0"]
+    rows = [(i, f"Words before it.\n\n{TEMPLATES[n].replace('copyright holder nor', 'author nor')}\n\nWords after it.", "en", "s") for i, n in enumerate(names)]
+    rows.append((50, TEMPLATES["BSD"] + "\n\nOther words.", "en", "s"))  # which of them isn't said
+    got = collections.defaultdict(set)
+    for r in scan_licenses(edge.documents(spark, rows)).collect():
+        got[r.doc_id].add(r.license)
+    assert got == {i: {n} for i, n in enumerate(names)} | {50: {"BSD"}}
+
+
 def test_quality(spark):
     from lectern.llm.quality import accepted_documents, quality_scores
 
