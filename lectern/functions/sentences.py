@@ -1,24 +1,45 @@
-"""Sentence splitting: a native split at marks, and a scanner for abbreviations as a pandas function."""
+"""Sentence splitting, by marks or with abbreviations, domains and numbers kept whole: patterns over whole texts.
+
+Periods that end nothing are turned into a placeholder by a chain of patterns, the text is cut at the
+marks that are left, and the placeholders become periods again. The patterns mean the same in Java and
+in Python, so a column stays in the JVM and a single text can be cut in Python.
+"""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lectern.functions.text import collapse_spaces
 
-# fixed values: words before a period that end no sentence, and what may follow dotted ones
-ABBREVIATIONS = {"a.m", "c", "dr", "e.g", "etc", "fig", "i.e", "mr", "mrs", "ms", "no", "p.m", "prof", "st", "u.k", "u.s", "vs"}
-NEVER_ENDS = {"a.m", "dr", "e.g", "fig", "i.e", "mr", "mrs", "ms", "no", "p.m", "prof", "st", "vs"}
-WEB_SUFFIXES = {"com", "edu", "gov", "mil", "net", "org"}
+# fixed values: words before a period that may end no sentence
+ABBREVIATIONS = ("a.m", "c", "e.g", "i.e", "etc", "mr", "mrs", "ms", "dr", "prof", "fig", "vs", "u.s", "u.k", "no", "p.m", "st")
+# fixed values: what follows the period of a domain
+WEB_SUFFIXES = ("com", "edu", "gov", "mil", "net", "org")
+
+_KEPT = "․"
+_BEFORE_CAPITAL, _BEFORE_WORD = ("etc", "c"), ("u.s", "u.k")
+_PLAIN = [a for a in ABBREVIATIONS if a not in _BEFORE_CAPITAL + _BEFORE_WORD]
+
+
+def _either(words) -> str:
+    return "(?i:" + "|".join(w.replace(".", "[.]") for w in words) + ")"
+
 
-_MARK = re.compile(r"[.!?]")
-_BEFORE = re.compile(r"([A-Za-z](?:[A-Za-z.]*[A-Za-z])?)$")
-_AFTER = re.compile(r"\s+([A-Za-z][A-Za-z-]*)")
+#: Patterns of which the first group stays and the period after it is kept: plain abbreviations; some before
+#: anything but a capital; countries before anything but a capitalised word that is no acronym; numbers;
+#: names with inner periods; bare domain suffixes.
+GUARDS = [
+    rf"(?<![A-Za-z.])({_either(_PLAIN)})[.]",
+    rf"(?<![A-Za-z.])({_either(_BEFORE_CAPITAL)})[.](?! [A-Z])",
+    rf"(?<![A-Za-z.])({_either(_BEFORE_WORD)})[.](?! (?![A-Z]{{1,6}}(?![A-Za-z-]))[A-Z])",
+    r"([0-9])[.](?=[0-9])",
+    r"([A-Za-z0-9])[.](?=[A-Za-z])",
+    rf"()[.](?={_either(WEB_SUFFIXES)}(?![A-Za-z]))",
+]
+_UNIT = "[^.!?]*[.!?]|[^.!?]+$"
 
 
 def split_at_marks(text: Column) -> Column:
@@ -26,50 +47,29 @@ def split_at_marks(text: Column) -> Column:
     abbreviations don't end one. Native, so it works on any number of texts at scan speed."""
     t = collapse_spaces(text)
     for a in ("e.g.", "i.e.", "U.S.", "U.K."):
-        t = F.replace(t, F.lit(a), F.lit(a.replace(".", "․")))
+        t = F.replace(t, F.lit(a), F.lit(a.replace(".", _KEPT)))
     parts = F.split(t, r"(?<=[.!?])\s+(?=[A-Z0-9\"'(\[])")
-    return F.filter(F.transform(parts, lambda p: F.trim(F.translate(p, "․", "."))), lambda p: p != "")
-
-
-def _ends(text: str, at: int) -> bool:
-    """Whether the mark at a place ends a sentence."""
-    if text[at] != ".":
-        return True
-    before, after = text[at - 1 : at], text[at + 1 : at + 2]
-    if after.isdigit() and before.isdigit():
-        return False
-    if after.isalpha():  # inside a name such as a.com, or before a dotted abbreviation's next letter
-        suffix = text[at + 1 : at + 4].lower()
-        if before.isalnum() or suffix in WEB_SUFFIXES and not text[at + 4 : at + 5].isalpha():
-            return False
-    token = _BEFORE.search(text[max(0, at - 24) : at])
-    word = token[1].lower() if token else ""
-    if word not in ABBREVIATIONS:
-        return True
-    follows = _AFTER.match(text, at + 1)
-    if word in NEVER_ENDS or not follows:
-        return False
-    following = follows[1]
-    if word == "etc" or word == "c":
-        return following[0].isupper()
-    return following[0].isupper() and not (following.isupper() and len(following) <= 6)
+    return F.filter(F.transform(parts, lambda p: F.trim(F.translate(p, _KEPT, "."))), lambda p: p != "")
+
+
+def split_simply(text: Column) -> Column:
+    """Parts after Western or Chinese end marks and at line ends, without empty ones."""
+    marked = F.regexp_replace(text, "([.!?](?=\\s|$)|[。！？])", "$1\n")
+    return F.filter(F.transform(F.split(marked, "\n"), collapse_spaces), lambda p: p != "")
+
+
+def sentence_units(text: Column | str) -> Column:
+    """Sentence-like units of a column; decimals, domains and abbreviations keep their periods. None for null."""
+    t = collapse_spaces(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    for g in GUARDS:
+        t = F.regexp_replace(t, g, "$1" + _KEPT)
+    units = F.regexp_extract_all(t, F.lit(f"({_UNIT})"), F.lit(1))
+    return F.filter(F.transform(units, lambda u: F.trim(F.translate(u, _KEPT, "."))), lambda u: u != "")
 
 
 def scan_sentences(text: str | None) -> list[str]:
-    """Sentence-like units; decimals, domains and abbreviations keep their periods. None for null."""
-    flat = " ".join((text or "").split())
-    out, start = [], 0
-    for m in _MARK.finditer(flat):
-        if _ends(flat, m.start()):
-            unit = flat[start : m.end()].strip()
-            if unit:
-                out.append(unit)
-            start = m.end()
-    tail = flat[start:].strip()
-    return [*out, tail] if tail else out
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def sentence_units(texts: pd.Series) -> pd.Series:
-    """scan_sentences over a column."""
-    return texts.map(scan_sentences)
+    """`sentence_units` of one text."""
+    t = " ".join((text or "").split())
+    for g in GUARDS:
+        t = re.sub(g, r"\g<1>" + _KEPT, t)
+    return [u for u in (x.replace(_KEPT, ".").strip() for x in re.findall(_UNIT, t)) if u]

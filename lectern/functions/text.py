@@ -24,6 +24,7 @@ MARKDOWN = r"(^|\n)\s*(#{1,6}\s+|[-*]\s+|\d+\.\s+)"
 REFUSALS = ["i cannot", "i can't", "as an ai", "i am unable", "cannot summarize"]
 REFERENCE_HEADINGS = ["references", "bibliography", "works cited"]
 QUOTES = {" ": " ", "​": "", "‌": "", "‍": "", "﻿": "", "‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "−": "-"}
+# fixed values: words that copying has run together
 MERGED_WORDS = {"accuracymore": "accuracy more", "themean": "the mean", "ismore": "is more"}
 
 

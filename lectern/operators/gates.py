@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.sentences import sentence_units
+from lectern.functions.text import force_period, protected_count
+
 ROLES = ["system", "user", "assistant"]
 LABEL_KEYS = ["main_idea", "key_points"]
 
@@ -57,26 +60,65 @@ def first_of_role(messages: Column, role: str) -> Column:
 LABEL = "main_idea string, key_points array<string>"
 
 
-def label_issues(text: Column, points: int = 4) -> Column:
-    """What is wrong with a label's JSON: not an object, other keys or order, empty idea, count of points, empty points."""
-    keys = F.json_object_keys(text)
-    label = F.from_json(text, LABEL)
+def _is(value: Column, kind: str) -> Column:
+    """Whether a variant holds a kind of value (STRING, ARRAY and so on); false for null."""
+    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
+
+
+def _label(text: Column) -> tuple[Column, Column, Column, Column]:
+    """Of a label's JSON: its keys (null if it is no object), idea and points as variants, points as an array."""
+    v = F.try_parse_json(text)
+    idea, points = F.variant_get(v, "$.main_idea", "variant"), F.variant_get(v, "$.key_points", "variant")
+    return F.when(v.isNotNull(), F.json_object_keys(text)), idea, points, F.when(_is(points, "ARRAY"), F.try_variant_get(points, "$", "array<variant>"))
+
+
+def label_issues(text: Column, points: int = 4, sentences: int = 2) -> Column:
+    """Codes of what is wrong with a label's JSON.
+
+    It must be an object with the two keys, a string of `sentences` sentences and an array of `points`
+    strings of one sentence each: values of other types are issues, not cast.
+    """
+    keys, idea, listed, items = _label(text)
+    object_ = F.coalesce(keys.isNotNull(), F.lit(False))
+    expected = F.array(*[F.lit(k) for k in LABEL_KEYS])
+    string = lambda x: F.try_variant_get(x, "$", "string")
+    plain = F.filter(items, lambda x: _is(x, "STRING"))
+    full = F.filter(F.transform(plain, string), lambda x: F.trim(x) != "")
     return issues({
-        "not_object": keys.isNull(),
-        "keys": keys.isNotNull() & (keys != F.array(*[F.lit(k) for k in LABEL_KEYS])),
-        "main_idea": keys.isNotNull() & (F.trim(F.coalesce(label["main_idea"], F.lit(""))) == ""),
-        "points": keys.isNotNull() & (F.coalesce(F.size(label["key_points"]), F.lit(-1)) != points),
-        "blank_point": F.exists(label["key_points"], lambda p: F.trim(F.coalesce(p, F.lit(""))) == ""),
+        "not_object": ~object_,
+        "missing_keys": object_ & (F.size(F.array_except(expected, keys)) > 0),
+        "extra_keys": object_ & (F.size(F.array_except(keys, expected)) > 0),
+        "main_idea_not_string": object_ & ~_is(idea, "STRING"),
+        "key_points_not_array": object_ & ~_is(listed, "ARRAY"),
+        "main_idea_sentences": _is(idea, "STRING") & (protected_count(string(idea)) != sentences),
+        "key_points_count": F.size(items) != points,
+        "key_point_not_string": F.size(plain) < F.size(items),
+        "key_point_empty": F.size(full) < F.size(plain),
+        "key_point_sentences": F.exists(full, lambda x: protected_count(x) != 1),
     })
 
 
-def guard(text: Column, points: int = 4) -> Column:
-    """(action, label): pass, truncated beyond `points`, or error with a null label."""
+def canonical_label(text: Column) -> Column:
+    """JSON of a label without issues: each sentence and point collapsed, with one period at its end. Else null."""
     label = F.from_json(text, LABEL)
-    n = F.coalesce(F.size(F.filter(label["key_points"], lambda p: F.trim(p) != "")), F.lit(0))
-    ok = (F.json_object_keys(text) == F.array(*[F.lit(k) for k in LABEL_KEYS])) & (F.trim(F.coalesce(label["main_idea"], F.lit(""))) != "")
+    idea = F.array_join(F.transform(sentence_units(label["main_idea"]), force_period), " ")
+    made = F.to_json(F.struct(idea.alias("main_idea"), F.transform(label["key_points"], force_period).alias("key_points")))
+    return F.when(F.size(label_issues(text)) == 0, made)
+
+
+def guard(text: Column, points: int = 4) -> Column:
+    """(action, label): pass, truncated beyond `points`, or error with a null label.
+
+    An error is anything but exactly the two keys, a string and an array of strings, none blank, or
+    fewer than `points` of them.
+    """
+    keys, idea, _, items = _label(text)
+    strings = F.filter(F.transform(F.filter(items, lambda x: _is(x, "STRING")), lambda x: F.try_variant_get(x, "$", "string")), lambda p: F.trim(p) != "")
+    n = F.coalesce(F.size(strings), F.lit(0))
+    main = F.when(_is(idea, "STRING"), F.try_variant_get(idea, "$", "string"))
+    ok = (F.array_sort(keys) == F.array(*[F.lit(k) for k in sorted(LABEL_KEYS)])) & (F.trim(main) != "") & (n == F.size(items))
     action = F.when(~F.coalesce(ok, F.lit(False)) | (n < points), "error").when(n > points, "truncated").otherwise("pass")
-    cut = F.struct(label["main_idea"].alias("main_idea"), F.slice(label["key_points"], 1, points).alias("key_points"))
+    cut = F.struct(main.alias("main_idea"), F.slice(strings, 1, points).alias("key_points"))
     return F.struct(action.alias("action"), F.when(action != "error", F.to_json(cut)).alias("label"))
 
 

@@ -14,12 +14,8 @@ from lectern.operators.sequences import spread
 
 # fixed values: aims and limits of a segment in words
 TARGET, LEAST, MOST = 650, 450, 850
-# fixed values: words that carry no topic
-STOP = set("a an and are as at be been being but by can for from had has have in is it its may not of on or such that the their these they this those to was we were which will with".split())
-
 _WORD = re.compile(r"[\w'-]*\w[\w'-]*")
 _TOKEN = re.compile(r"[a-z][a-z'-]*")
-_CUE = re.compile(r"\b(this means|therefore|the main|the key|important|suggests|shows|indicates|requires|depends|because|however|overall|in conclusion)\b")
 
 
 def sentences_of(text: str | None) -> list[tuple[str, bool]]:
@@ -80,25 +76,27 @@ def cut(counts: np.ndarray, bounds: dict[int, float]) -> list[tuple[int, int]]:
 
 
 def summarise(sentences: list[tuple[str, bool]], most: int = 2) -> str:
-    """The best sentences that aren't neighbours, in their order: frequent terms, cue words and early,
-    middle or late places count for them, extreme lengths and links against."""
+    """The sentences that together cover the segment's terms best, in their order, neighbours only if need be.
+
+    A term weighs as often as it occurs, less the more sentences hold it, so words that are everywhere
+    count little. Sentences are taken one by one by the weight of terms that no chosen one has, for the
+    root of their length; those with a link come last.
+    """
     body = [s for s, heading in sentences if not heading]
-    if not body:
-        return ""
-    tokens = [[t for t in _TOKEN.findall(s.lower()) if t not in STOP] for s in body]
-    weight = Counter(t for ts in tokens for t in ts if len(t) > 2)
-    place = np.linspace(0, 1, len(body)) if len(body) > 1 else np.zeros(1)
-    score = np.array([sum(weight[t] for t in ts) / max(1, len(ts)) for ts in tokens])
-    score += np.maximum(0, 0.28 - 0.45 * place) + np.maximum(0, 0.18 - 0.36 * np.abs(place - 0.5)) + np.maximum(0, 0.16 - 0.32 * np.abs(place - 0.85))
-    size = np.array([len(_WORD.findall(s)) for s in body])
-    score += np.select([(size >= 12) & (size <= 45), size < 8, size > 70], [0.35, -0.7, -0.55], 0.0)
-    score += np.array([0.45 if _CUE.search(s.lower()) else 0.0 for s in body])
-    score -= np.array([1.0 if "http" in s or "www." in s else 0.0 for s in body])
+    terms = [Counter(_TOKEN.findall(s.lower())) for s in body]
+    held = Counter(t for c in terms for t in c)
+    count = sum(terms, Counter())
+    weight = {t: n * np.log(1 + len(body) / held[t]) for t, n in count.items()}
+    linked = ["http" in s or "www." in s for s in body]
     chosen: list[int] = []
-    for apart in (True, False):
-        for i in np.argsort(-score, kind="stable").tolist():
-            if len(chosen) < most and i not in chosen and not (apart and any(abs(i - j) <= 1 for j in chosen)):
-                chosen.append(i)
+    covered: set[str] = set()
+    while len(chosen) < min(most, len(body)):
+        left = [i for i in range(len(body)) if i not in chosen]
+        apart = [i for i in left if all(abs(i - j) > 1 for j in chosen)] or left
+        gain = {i: sum(weight[t] for t in terms[i] if t not in covered) / np.sqrt(1 + terms[i].total()) for i in apart}
+        best = min(apart, key=lambda i: (linked[i], -gain[i], i))
+        chosen.append(best)
+        covered |= set(terms[best])
     return " ".join(body[i] for i in sorted(chosen))
 
 

@@ -44,20 +44,40 @@ def judge_gate(t):
     return t.labels.select("doc_id", verdict.alias("verdict"), F.array_join(found, ",").alias("issues"))
 
 
-_LABELS = """WITH k AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), j AS (SELECT doc_id, list_slice(list_filter(l, lambda x: x <> ''), 2, 2 + CAST(doc_id % 6 AS BIGINT)) AS p, l[1] AS idea FROM k)"""
+# labels made of documents' words: doc_id says how many sentences and points there are and what is wrong
+_LABELS = """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents),
+s AS (SELECT doc_id, list_transform(range(0, 20), lambda k: array_to_string(list_slice(w, 3 * k + 1, 3 * k + 3), ' ') || '.') AS s FROM t),
+j AS (SELECT doc_id, array_to_string(list_slice(s, 1, 1 + doc_id % 3), ' ') AS idea, 1 + doc_id % 6 AS np, doc_id % 11 = 4 AS odd, doc_id % 9 = 8 AS blank, doc_id % 19 <> 7 AS object, doc_id % 7 <> 3 AS told, doc_id % 13 <> 5 AND doc_id % 23 <> 9 AS listed, doc_id % 23 = 9 AS missing, doc_id % 17 = 6 AS extra,
+  list_transform(range(1, 2 + doc_id % 6), lambda k: CASE WHEN k = 1 AND doc_id % 9 = 8 THEN '' WHEN k = 2 AND doc_id % 5 = 0 THEN s[k + 4] || ' ' || s[k + 10] ELSE s[k + 4] END) AS p FROM s),
+i AS (SELECT *, CASE WHEN NOT object THEN ['not_object'] ELSE list_filter([CASE WHEN missing THEN 'missing_keys' END, CASE WHEN extra THEN 'extra_keys' END, CASE WHEN NOT told THEN 'main_idea_not_string' END, CASE WHEN NOT listed THEN 'key_points_not_array' END,
+  CASE WHEN told AND len(regexp_extract_all(idea, '[.!?]+(?: |$)')) <> 2 THEN 'main_idea_sentences' END, CASE WHEN listed AND np + CAST(odd AS INTEGER) <> 4 THEN 'key_points_count' END, CASE WHEN listed AND odd THEN 'key_point_not_string' END, CASE WHEN listed AND blank THEN 'key_point_empty' END,
+  CASE WHEN listed AND len(list_filter(p, lambda x: x <> '' AND len(regexp_extract_all(x, '[.!?]+(?: |$)')) <> 1)) > 0 THEN 'key_point_sentences' END], lambda x: x IS NOT NULL) END AS issues FROM j)"""
 
 
 def labels_json(t):
-    """Labels made of documents' lines, with a varying number of points."""
-    l = F.filter(F.split("text", "\n"), lambda x: x != "")
-    return t.documents.select("doc_id", F.to_json(F.struct(F.split("text", "\n")[0].alias("main_idea"), F.slice(l, 2, (F.col("doc_id") % 6 + 1).cast("int")).alias("key_points"))).alias("json"))
-
-
-@query(_LABELS + " SELECT doc_id, CASE WHEN len(list_filter(p, lambda x: trim(x) <> '')) < 4 OR trim(idea) = '' THEN 'error' WHEN len(list_filter(p, lambda x: trim(x) <> '')) > 4 THEN 'truncated' ELSE 'pass' END AS action, array_to_string(list_filter([CASE WHEN trim(idea) = '' THEN 'main_idea' END, CASE WHEN len(p) <> 4 THEN 'points' END, CASE WHEN len(list_filter(p, lambda x: trim(x) = '')) > 0 THEN 'blank_point' END], lambda x: x IS NOT NULL), ',') AS issues FROM j")
+    """Labels made of documents' words, of which some lack keys or have values of other types."""
+    d, k = t.documents, F.col("doc_id")
+    w = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
+    s = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.concat(F.array_join(F.slice(w, 3 * i + 1, F.lit(3)), " "), F.lit(".")))
+    d = d.select("doc_id", s.alias("s"))
+    idea = F.array_join(F.slice("s", F.lit(1), (1 + k % 3).cast("int")), " ")
+    at = lambda i: F.get(F.col("s"), i.cast("int"))
+    point = lambda i: F.when((i == 1) & (k % 9 == 8), "").when((i == 2) & (k % 5 == 0), F.concat(at(i + 3), F.lit(" "), at(i + 9))).otherwise(at(i + 3))
+    points = F.to_json(F.transform(F.sequence(F.lit(1).cast("long"), 1 + k % 6), point))
+    points = F.when(k % 11 == 4, F.concat(F.lit("[true,"), F.substr(points, F.lit(2)))).otherwise(points)
+    points = F.when(k % 13 == 5, '{"1":"a"}').otherwise(points)
+    main = F.when(k % 7 == 3, "5").otherwise(F.concat(F.lit('"'), idea, F.lit('"')))
+    body = F.concat(F.lit('{"main_idea":'), main, F.when(k % 23 == 9, "").otherwise(F.concat(F.lit(',"key_points":'), points)), F.when(k % 17 == 6, ',"more":null').otherwise(""), F.lit("}"))
+    return d.select("doc_id", F.when(k % 19 == 7, F.concat(F.lit("["), body, F.lit("]"))).otherwise(body).alias("json"))
+
+
+@query(_LABELS + """ SELECT doc_id, array_to_string(issues, ',') AS issues, CASE WHEN object AND NOT missing AND NOT extra AND told AND listed AND NOT odd AND NOT blank AND np >= 4 THEN CASE WHEN np > 4 THEN 'truncated' ELSE 'pass' END ELSE 'error' END AS action,
+ CASE WHEN len(issues) = 0 THEN md5('{"main_idea":"' || idea || '","key_points":["' || array_to_string(p, '","') || '"]}') END AS canonical FROM i""")
 def structural_gate(t):
-    """Issues of labels' JSON, and what the output guard does with them."""
+    """Issues of labels' JSON by types and sentence counts, what the output guard does with them, and the canonical label of those without."""
     j = labels_json(t)
-    return j.select("doc_id", G.guard(F.col("json"))["action"].alias("action"), F.array_join(G.label_issues(F.col("json")), ",").alias("issues"))
+    c = F.col("json")
+    return j.select("doc_id", F.array_join(G.label_issues(c), ",").alias("issues"), G.guard(c)["action"].alias("action"), F.md5(G.canonical_label(c)).alias("canonical"))
 
 
 @query("SELECT conv_id, count(*) AS n, CASE WHEN count(*) > 6 THEN 'too_many' WHEN count(DISTINCT turn) < count(*) THEN 'duplicate_ids' WHEN min(length(trim(text))) = 0 THEN 'empty' WHEN max(length(text)) > 4000 THEN 'too_large' ELSE 'ok' END AS status FROM conversations GROUP BY conv_id")

@@ -109,7 +109,22 @@ def test_drift_and_gates(spark):
 
     stored = spark.createDataFrame([("model", "a"), ("hash", "1")], "setting string, value string")
     assert {r.setting for r in state.drift(stored, {"model": "b", "new": "x", "hash": "1"}).collect()} == {"model", "new"}
-    rows = [('{"main_idea":"i","key_points":["a","b","c","d"]}',), ('{"main_idea":"i","key_points":["a","b","c","d","e"]}',), ('{"key_points":[],"main_idea":""}',), ("no",), (None,)]
+    rows = [('{"main_idea":"i. j.","key_points":["a","b","c","d"]}',), ('{"main_idea":"i. j.","key_points":["a","b","c","d","e"]}',), ('{"key_points":[],"main_idea":""}',), ("no",), (None,), ('{"main_idea":5,"key_points":[1,true,"c","d"]}',), ('{"main_idea":"Dr. A. sat. He ran!","key_points":["a  b","b","c?","d. e."]}',)]
     d = spark.createDataFrame(rows, "j string")
-    got = [(r.g.action, r.i) for r in d.select(gates.guard(F.col("j")).alias("g"), gates.label_issues(F.col("j")).alias("i")).collect()]
-    assert got[0] == ("pass", []) and got[1] == ("truncated", ["points"]) and got[2][0] == "error" and got[3] == ("error", ["not_object"]) and got[4] == ("error", ["not_object"])
+    j = F.col("j")
+    got = [(r.g.action, r.i, r.c) for r in d.select(gates.guard(j).alias("g"), gates.label_issues(j).alias("i"), gates.canonical_label(j).alias("c")).collect()]
+    assert got[0] == ("pass", [], '{"main_idea":"i. j.","key_points":["a.","b.","c.","d."]}') and got[1][:2] == ("truncated", ["key_points_count"])
+    assert got[2][0] == "error" and got[3] == got[4] == ("error", ["not_object"], None)
+    assert got[5][:2] == ("error", ["main_idea_not_string", "key_point_not_string"]) and got[6][1] == ["main_idea_sentences", "key_point_sentences"]
+
+
+def test_sentences_are_the_same_in_both_engines(spark):
+    from lectern.functions.sentences import scan_sentences, sentence_units, split_simply
+
+    texts = ["He paid 3.5 dollars. Dr. Smith left at 5 p.m. and slept. See a.com.", "The U.S. Army won. In the U.S. People ran, etc. and so on. Foods, etc. Then more", "Visit www.x.org. fig. 3 shows it. Is it? Yes", None, "", " tail"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.u for r in d.select(sentence_units("t").alias("u")).collect()]
+    assert got == [scan_sentences(t) for t in texts]
+    assert got[0] == ["He paid 3.5 dollars.", "Dr. Smith left at 5 p.m. and slept.", "See a.com."] and got[1][-2:] == ["Foods, etc.", "Then more"]
+    one = spark.createDataFrame([("A b. C!\nd\u3002e",)], "t string").select(split_simply(F.col("t")).alias("u")).first().u
+    assert one == ["A b.", "C!", "d\u3002", "e"]
