@@ -102,20 +102,22 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Crawl records made from pages: at 10 * page_id the full response, and for two of three pages a
-    revisit 10,005 later, whose etag is the page's for one and another for the other."""
+    """Crawl records made from pages: at 10 * page_id the full response of all pages but every seventh, of
+    every fifth without an etag; and for two of three pages a revisit 10,005 later, whose etag is the
+    page's for one and another for the other; every eleventh carries none."""
     from pyspark.sql import functions as F
 
+    i = F.col("page_id")
     p = pages.select("page_id", "url", F.md5("html").alias("md5"), F.length("html").alias("n"))
-    etag = F.concat(F.lit('"'), F.col("md5"), F.lit('"'))
-    full = p.select(
-        (2 * F.col("page_id")).alias("id"), "url", (10 * F.col("page_id")).alias("ts"), F.lit("response").alias("kind"), etag.alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.col("md5").alias("digest"),
-        F.create_map(F.lit("content-length"), F.col("n").cast("string"), F.lit("date"), (10 * F.col("page_id")).cast("string"), F.lit("etag"), etag).alias("headers"),
+    etag, none = F.concat(F.lit('"'), F.col("md5"), F.lit('"')), F.lit(None).cast("string")
+    full = p.where("page_id % 7 <> 0").select(
+        (2 * i).alias("id"), "url", (10 * i).alias("ts"), F.lit("response").alias("kind"), F.when(i % 5 != 0, etag).alias("etag"), none.alias("last_modified"), F.col("md5").alias("digest"),
+        F.create_map(F.lit("content-length"), F.col("n").cast("string"), F.lit("date"), (10 * i).cast("string"), F.lit("etag"), etag).alias("headers"),
     )
-    other = F.when(F.col("page_id") % 3 == 1, F.concat(F.lit("W/"), etag)).otherwise(F.lit('"gone"'))
+    other = F.when(i % 11 == 0, none).when(i % 3 == 1, F.concat(F.lit("W/"), etag)).otherwise(F.lit('"gone"'))
     again = p.where("page_id % 3 <> 0").select(
-        (2 * F.col("page_id") + 1).alias("id"), "url", (10 * F.col("page_id") + 10_005).alias("ts"), F.lit("revisit").alias("kind"), other.alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("string").alias("digest"),
-        F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), (10 * F.col("page_id") + 10_005).cast("string")).alias("headers"),
+        (2 * i + 1).alias("id"), "url", (10 * i + 10_005).alias("ts"), F.lit("revisit").alias("kind"), other.alias("etag"), none.alias("last_modified"), none.alias("digest"),
+        F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), (10 * i + 10_005).cast("string")).alias("headers"),
     )
     return full.unionAll(again)
 
@@ -138,12 +140,12 @@ k AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extrac
   array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'),
     lambda q: q <> '' AND NOT list_contains(['fbclid', 'gclid', 'ref', 'utm_campaign', 'utm_content', 'utm_medium', 'utm_source', 'utm_term'], regexp_extract(q, '^([^=]*)', 1)))), '&') AS params FROM c),
 r AS (SELECT page_id, base || CASE WHEN params <> '' THEN '?' || params ELSE '' END AS url, md5, n FROM k),
-v AS (SELECT 2 * page_id + 1 AS id, url, 10 * page_id + 10005 AS ts, CASE WHEN page_id % 3 = 1 THEN '"' || md5 || '"' ELSE '"gone"' END AS etag FROM r WHERE page_id % 3 <> 0),
-j AS (SELECT v.*, 2 * r.page_id AS response_id, 10 * r.page_id AS response_ts, r.md5, r.n FROM v LEFT JOIN r ON r.url = v.url AND 10 * r.page_id < v.ts
+v AS (SELECT 2 * page_id + 1 AS id, url, 10 * page_id + 10005 AS ts, CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 3 = 1 THEN '"' || md5 || '"' ELSE '"gone"' END AS etag FROM r WHERE page_id % 3 <> 0),
+j AS (SELECT v.*, 2 * r.page_id AS response_id, 10 * r.page_id AS response_ts, r.md5, r.n, CASE WHEN r.page_id % 5 <> 0 THEN '"' || r.md5 || '"' END AS stored FROM v LEFT JOIN r ON r.url = v.url AND 10 * r.page_id < v.ts AND r.page_id % 7 <> 0
   QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY r.page_id DESC NULLS LAST) = 1),
-o AS (SELECT *, CASE WHEN response_id IS NULL THEN 'missing' WHEN '"' || md5 || '"' = etag THEN 'resolved' ELSE 'mismatch' END AS outcome FROM j)
-SELECT id, url, ts, response_id, response_ts, CASE WHEN outcome = 'resolved' THEN md5 END AS digest,
-  CASE WHEN outcome = 'resolved' THEN 'content-length: ' || n || '; date: ' || ts || '; etag: "' || md5 || '"' END AS headers, outcome FROM o
+o AS (SELECT *, CASE WHEN response_id IS NULL THEN 'missing' WHEN etag IS NULL OR stored IS NULL THEN 'unchecked' WHEN stored = etag THEN 'resolved' ELSE 'mismatch' END AS outcome FROM j)
+SELECT id, url, ts, response_id, response_ts, CASE WHEN outcome IN ('resolved', 'unchecked') THEN md5 END AS digest,
+  CASE WHEN outcome IN ('resolved', 'unchecked') THEN 'content-length: ' || n || '; date: ' || ts || '; etag: "' || md5 || '"' END AS headers, outcome FROM o
 """
 
 OP2_SQL = """

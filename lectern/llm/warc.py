@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 #: Rows of one URL that one task orders.
 ORDERED = 10_000
+#: Parts that a URL with more rows is cut in.
+PARTS = 256
 
 # fixed values: header fields that a 304 response may update in the stored one (RFC 9111, section 3.2
 # leaves out those that describe the stored body)
@@ -52,29 +54,32 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
     Earlier means a smaller ts; of several at one ts the greatest id. Rows with a null url, ts or kind
     neither resolve nor serve: such revisits are 'missing'. Repeated rows resolve each. Other columns
-    are dropped. A URL with more than about ORDERED rows is cut by ranges of ts into parts, each of
-    which starts from the last response of the parts before, so no URL has to fit a task.
+    are dropped. Responses of one URL and ts are one to a revisit, so they fold into their last, and revisits
+    of one URL and ts ask once. What is left of a URL with more than ORDERED different ts is cut at
+    quantiles of ts into PARTS parts, each of which starts from the last response of those before.
     """
     r = records.select("id", canonical_url(F.col("url")).alias("url"), "ts", "kind", "etag", "last_modified", "digest", "headers", F.col("ts").cast("double").alias("t"))
     odd = F.col("url").isNull() | F.col("t").isNull()
     lost = r.where(odd & (F.col("kind") == "revisit"))
     r = r.where(~odd & F.col("kind").isin("response", "revisit"))
-    span = r.groupBy("url").agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
-    span = span.where(F.col("n") > ORDERED).select(F.col("url").alias("su"), "lo", "hi", F.ceil(F.col("n") / ORDERED).alias("m"))
-    part = F.when(F.col("su").isNull() | (F.col("hi") <= F.col("lo")), F.lit(0)).otherwise(F.least(F.col("m") - 1, F.floor((F.col("t") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("m"))))
-    r = r.join(span, F.col("url") == F.col("su"), "left").withColumn("part", part.cast("long")).drop("su", "lo", "hi", "m")
     own = F.struct("t", "id", "ts", "etag", "last_modified", "digest", "headers")
-    last = r.where("kind = 'response'").groupBy("url", "part").agg(F.max_by(own, F.struct("t", "id")).alias("last"))
-    many = r.select("url", "part").where("part > 0").distinct().select("url", "part")
-    parts = many.unionAll(many.select("url", F.lit(0).cast("long")).distinct()).distinct().join(last, ["url", "part"], "left")
+    served = r.where("kind = 'response'").groupBy("url", "t").agg(F.max_by(own, F.col("id")).alias("own"))
+    asked = r.where("kind = 'revisit'").select("url", "t").distinct()
+    # at one ts the question stands before the answer, so what precedes it is earlier
+    e = served.select("url", "t", F.lit(1).alias("side"), "own").unionAll(asked.select("url", "t", F.lit(0).alias("side"), F.lit(None).cast(served.schema["own"].dataType).alias("own")))
+    span = e.groupBy("url").agg(F.count("*").alias("n"), F.percentile_approx("t", [i / PARTS for i in range(1, PARTS)], 10 * PARTS).alias("cuts"))
+    span = span.where(F.col("n") > ORDERED).select(F.col("url").alias("su"), F.array_distinct("cuts").alias("cuts"))
+    part = F.coalesce(F.size(F.filter("cuts", lambda x: x <= F.col("t"))), F.lit(0))
+    e = e.join(span, F.col("url") == F.col("su"), "left").withColumn("part", F.when(F.col("su").isNull(), 0).otherwise(part)).drop("su", "cuts")
+    last = e.where("own is not null").groupBy("url", "part").agg(F.max_by("own", F.col("t")).alias("last"))
+    many = e.where("part > 0").select("url", "part").distinct()
+    many = many.unionAll(many.select("url", F.lit(0)).distinct()).distinct().join(last, ["url", "part"], "left")
     carry = F.last("last", ignorenulls=True).over(Window.partitionBy("url").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.select(F.col("url").alias("cu"), F.col("part").alias("cp"), carry.alias("carry")).where("carry is not null")
-    r = r.join(parts, F.expr("url = cu and part = cp"), "left")
-    # all rows of one ts: revisits stand before responses, so what precedes a revisit is earlier
-    first = F.when(F.col("kind") == "revisit", 0).otherwise(1)
-    order = Window.partitionBy("url", "part").orderBy("t", first, "id").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.last(F.when(F.col("kind") == "response", own), ignorenulls=True).over(order)
-    v = r.withColumn("r", F.coalesce(before, F.col("carry"))).where("kind = 'revisit'")
+    many = many.select(F.col("url").alias("cu"), F.col("part").alias("cp"), carry.alias("carry")).where("carry is not null")
+    order = Window.partitionBy("url", "part").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("before", F.last("own", ignorenulls=True).over(order)).where("side = 0")
+    e = e.join(many, F.expr("url = cu and part = cp"), "left").select(F.col("url").alias("eu"), F.col("t").alias("et"), F.coalesce("before", "carry").alias("r"))
+    v = r.where("kind = 'revisit'").drop("kind").join(e, F.expr("url = eu and t = et")).drop("eu", "et")
     plain = lambda c: F.regexp_replace(c, "^W/", "")
     check = F.when(F.col("etag").isNotNull(), plain(F.col("r.etag")) == plain(F.col("etag"))).when(F.col("last_modified").isNotNull(), F.col("r.last_modified") == F.col("last_modified"))
     outcome = F.when(F.col("r").isNull(), "missing").when(check, "resolved").when(check.isNull(), "unchecked").otherwise("mismatch")

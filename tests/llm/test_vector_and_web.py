@@ -163,3 +163,24 @@ def test_warc_files(spark, tmp_path):
     r = next(r for r in rows if r.warc_type == "response")
     assert r.status == 200 and r.headers == {"content-type": "text/html", "etag": '"1"'} and bytes(r.body).startswith(b"<p>hi")
     assert list(parse_warc(b"junk")) == []
+
+
+def test_revisits_of_a_hot_url_with_odd_times(spark, monkeypatch):
+    """One URL with an outlying ts, equal ts and many parts, against a plain search; every outcome of the query occurs."""
+    from lectern.llm import warc
+    from lectern.llm.queries import QUERIES
+
+    monkeypatch.setattr(warc, "ORDERED", 50)
+    monkeypatch.setattr(warc, "PARTS", 8)
+    rows = [(i, "http://a.org/x", 10**9 if i == 7 else 500 if i % 3 == 0 else i, "response" if i % 4 == 0 else "revisit", f'"{i % 5}"', None, f"d{i}", {"n": str(i)}) for i in range(1_000)]
+    df = spark.createDataFrame(rows, "id long, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>")
+    got = {r.id: (r.response_id, r.outcome) for r in warc.resolve_revisits(df).collect()}
+    full = [(r[2], r[0], r[4]) for r in rows if r[3] == "response"]
+    want = {}
+    for r in rows:
+        if r[3] == "revisit":
+            best = max((x for x in full if x[0] < r[2]), default=None)
+            want[r[0]] = (best and best[1], "missing" if not best else "resolved" if best[2] == r[4] else "mismatch")
+    assert got == want
+    query = QUERIES["op8_revisits"](spark, "/root/testdata/sf0.01").select("outcome").distinct().collect()
+    assert {r.outcome for r in query} == {"resolved", "unchecked", "mismatch", "missing"}
