@@ -40,6 +40,7 @@ GUARDS = [
     rf"()[.](?={_either(WEB_SUFFIXES)}(?![A-Za-z]))",
 ]
 _UNIT = "[^.!?]*[.!?]|[^.!?]+$"
+_GUARDS, _UNITS = [re.compile(g) for g in GUARDS], re.compile(_UNIT)
 
 
 def split_at_marks(text: Column) -> Column:
@@ -70,6 +71,6 @@ def sentence_units(text: Column | str) -> Column:
 def scan_sentences(text: str | None) -> list[str]:
     """`sentence_units` of one text."""
     t = " ".join((text or "").split())
-    for g in GUARDS:
-        t = re.sub(g, r"\g<1>" + _KEPT, t)
-    return [u for u in (x.replace(_KEPT, ".").strip() for x in re.findall(_UNIT, t)) if u]
+    for g in _GUARDS:
+        t = g.sub(r"\g<1>" + _KEPT, t)
+    return [u for u in (x.replace(_KEPT, ".").strip() for x in _UNITS.findall(t)) if u]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lectern.functions import text as X
 
@@ -97,23 +96,25 @@ def near_title_pairs(df: DataFrame, key: str, title: str, stop: list[str], least
 def tfidf_adjacent(docs: DataFrame, by: str, key: str) -> DataFrame:
     """Cosine of TF-IDF vectors of each document and the next of its group; no shared term gives 0.
 
-    Weights are tf / tokens * idf with idf over the group. Vectors meet by (document, term), never as pairs
-    of documents.
+    Weights are tf / tokens * idf with idf over the group. Each weight goes to the pair with the document
+    before and the one after, where it meets the other's by (pair, term); products and both norms are
+    then sums over a pair, so vectors are made once and no documents are paired as rows.
     """
     from lectern.operators.sequences import number_rows, spread
 
     terms = F.transform(X.tokens(F.col("text")), lambda t: F.xxhash64(t))  # terms only need to be told apart
-    w = spread(docs).select(by, key, F.explode(terms).alias("term")).groupBy(by, key, "term").agg(F.count("*").alias("tf"))
-    w = w.withColumn("len", F.sum("tf").over(Window.partitionBy(by, key)))  # one document's terms
+    w = spread(docs).select(by, key, terms.alias("terms")).select(by, key, F.size("terms").alias("len"), F.explode("terms").alias("term"))
+    w = w.groupBy(by, key, "len", "term").agg(F.count("*").alias("tf"))
     df = w.groupBy(by, "term").agg(F.count("*").alias("df"))
     n = docs.groupBy(by).agg(F.count("*").alias("docs"))
-    v = w.join(df, [by, "term"]).join(n, by)
-    v = v.select(by, key, "term", (F.col("tf") / F.col("len") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1)).alias("x"))
-    norm = v.groupBy(by, key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     order = number_rows(docs.select(by, key), [key], [by], "__n")
+    v = w.join(df, [by, "term"]).join(n, by).join(order, [by, key])
+    v = v.select(by, "__n", "term", (F.col("tf") / F.col("len") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1)).alias("x"))
+    sides = F.array(F.struct(F.col("__n").alias("pair"), F.col("x").alias("l"), F.lit(0.0).alias("r")), F.struct((F.col("__n") - 1).alias("pair"), F.lit(0.0).alias("l"), F.col("x").alias("r")))
+    met = v.select(by, "term", F.inline(sides)).groupBy(by, "pair", "term").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    sums = met.groupBy(by, "pair").agg(*[F.sum(F.col(a) * F.col(b)).alias(a + b) for a, b in ("lr", "ll", "rr")])
     nxt = order.select(F.col(by).alias("b2"), F.col(key).alias("next_id"), (F.col("__n") - 1).alias("n2"))
-    pair = order.join(nxt, F.expr(f"`{by}` = b2 and __n = n2")).select(by, key, "next_id")
-    dot = pair.join(v, [by, key]).join(v.select(F.col(by), F.col(key).alias("next_id"), "term", F.col("x").alias("y")), [by, "next_id", "term"])
-    dot = dot.groupBy(by, key).agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    out = pair.join(dot, [by, key], "left").join(norm, [by, key], "left").join(norm.select(F.col(by), F.col(key).alias("next_id"), F.col("norm").alias("m")), [by, "next_id"], "left")
-    return out.select(by, key, "next_id", F.round(F.coalesce(F.col("dot") / (F.col("norm") * F.col("m")), F.lit(0.0)), 6).alias("similarity"))
+    pair = order.join(nxt, F.expr(f"`{by}` = b2 and __n = n2")).select(by, key, "next_id", F.col("__n").alias("pair"))
+    out = pair.join(sums, [by, "pair"], "left")
+    cosine = F.when((F.col("ll") > 0) & (F.col("rr") > 0), F.col("lr") / F.sqrt(F.col("ll") * F.col("rr")))
+    return out.select(by, key, "next_id", F.round(F.coalesce(cosine, F.lit(0.0)), 6).alias("similarity"))

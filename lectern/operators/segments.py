@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -85,15 +86,17 @@ def summarise(sentences: list[tuple[str, bool]], most: int = 2) -> str:
     body = [s for s, heading in sentences if not heading]
     terms = [Counter(_TOKEN.findall(s.lower())) for s in body]
     held = Counter(t for c in terms for t in c)
-    count = sum(terms, Counter())
-    weight = {t: n * np.log(1 + len(body) / held[t]) for t, n in count.items()}
+    count: Counter = Counter()
+    for c in terms:
+        count.update(c)
+    weight = {t: n * math.log(1 + len(body) / held[t]) for t, n in count.items()}
     linked = ["http" in s or "www." in s for s in body]
     chosen: list[int] = []
     covered: set[str] = set()
     while len(chosen) < min(most, len(body)):
         left = [i for i in range(len(body)) if i not in chosen]
         apart = [i for i in left if all(abs(i - j) > 1 for j in chosen)] or left
-        gain = {i: sum(weight[t] for t in terms[i] if t not in covered) / np.sqrt(1 + terms[i].total()) for i in apart}
+        gain = {i: sum(weight[t] for t in terms[i] if t not in covered) / math.sqrt(1 + terms[i].total()) for i in apart}
         best = min(apart, key=lambda i: (linked[i], -gain[i], i))
         chosen.append(best)
         covered |= set(terms[best])
