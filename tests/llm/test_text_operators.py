@@ -206,6 +206,26 @@ def test_passages_of_common_hashes_meet_beyond_the_first(spark):
     assert len(got & set(pairs)) >= 9
 
 
+def test_passages_of_periodic_text_need_few_rows(monkeypatch):
+    import pyarrow as pa
+    from lectern.llm import passages as P
+
+    t, text = 46, [" ".join([edge.words(60, 7 + i, 9_000), *["on", "the"] * 200, edge.words(60, 90 + i, 9_000)]) for i in range(4)]
+    asked = [[{"c": c, "l": 0, "r": 10_000} for c in range(0, 520, t)]] * 4
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(4)), "text": text, "asked": asked})
+    runs = pa.Table.from_batches(list(P._runs_of(5, t)([batch]))).sort_by([("run", "ascending"), ("doc", "ascending"), ("start", "ascending")])
+
+    def regions(size):
+        met = pa.Table.from_batches([b for b in P._same_of(t)(iter(runs.combine_chunks().to_batches(size)))]).sort_by([("b", "ascending"), ("a", "ascending"), ("cb", "ascending")])
+        return met.num_rows, pa.Table.from_batches(list(P._regions_of(t)(iter(met.to_batches())))).to_pydict()
+
+    few, want = regions(100_000)
+    assert regions(97)[1] == want
+    monkeypatch.setattr(P, "_spread", lambda run, doc, start, step: np.ones(len(run), bool))
+    many, got = regions(100_000)
+    assert got == want and len(want["b"]) >= 3 and few * 5 < many
+
+
 def test_similar_spans_align_repeats_to_their_own_place():
     from lectern.llm.passages import similar_spans
 
