@@ -98,6 +98,35 @@ def label_issues(text: Column, points: int = 4, sentences: int = 2) -> Column:
     })
 
 
+def output_flags(text: Column, points: int = 4, sentences: int = 2, least: int = 35, most: int = 180) -> dict[str, Column]:
+    """Flags of generated output: whether it is an object of the two keys in order, its types and sentence
+    counts, blank strings, and a length in words outside least and most. Text that is no object has the
+    flags of a label without values, and its own words count."""
+    keys, idea, listed, items = _label(text)
+    plain = F.filter(items, lambda x: _is(x, "STRING"))
+    strings = F.transform(plain, lambda x: F.try_variant_get(x, "$", "string"))
+    main = F.when(_is(idea, "STRING"), F.try_variant_get(idea, "$", "string"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    is_list, of_strings, n = _is(listed, "ARRAY"), yes(F.size(plain) == F.size(items)), F.size(items)
+    order = yes(keys == F.array(*[F.lit(k) for k in LABEL_KEYS]))
+    said = F.filter(F.concat(F.array(main), F.coalesce(strings, F.array().cast("array<string>"))), lambda x: x.isNotNull())
+    words = F.regexp_count(F.when(F.size(said) > 0, F.array_join(said, " ")).otherwise(text), F.lit(r"\S+"))
+    return {
+        "json_object": keys.isNotNull(),
+        "exact_key_order": order,
+        "main_idea_string": main.isNotNull(),
+        "key_points_list": is_list,
+        "exactly_4_key_points": yes(is_list & (n == points)),
+        "all_key_points_strings": is_list & of_strings,
+        "schema_pass": order & main.isNotNull() & of_strings & yes(n == points),
+        "main_idea_two_sentences": yes(protected_count(main) == sentences),
+        "each_key_point_one_sentence": of_strings & yes(n == points) & yes(~F.exists(strings, lambda x: protected_count(x) != 1)),
+        "has_empty_string": yes(F.trim(text) == "") | yes(F.trim(main) == "") | yes(F.exists(strings, lambda x: F.trim(x) == "")),
+        "output_too_short": yes(words < least),
+        "output_too_long": yes(words > most),
+    }
+
+
 def canonical_label(text: Column) -> Column:
     """JSON of a label without issues: each sentence and point collapsed, with one period at its end. Else null."""
     label = F.from_json(text, LABEL)
