@@ -172,5 +172,38 @@ SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, w.doc_id) AS
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.id = w.doc_id
 """
 
-QUERIES = {"op8_revisits": op8_revisits, "op1_licenses": op1_licenses, "op5_quality": op5_quality, "op3_pfair": op3_pfair, "op7_topk": op7_topk, "op10_toxicity": op10_toxicity, "op9_passages": op9_passages, "op2_lattice": op2_lattice, "op4_minhash": op4_minhash, "op6_bpe": op6_bpe}
-ORACLE_SQL: dict[str, str] = {"op2_lattice": OP2_SQL, "op4_minhash": OP4_SQL, "op8_revisits": OP8_SQL, "op1_licenses": license_sql(), "op3_pfair": OP3_SQL, "op7_topk": OP7_SQL}
+#: Table t of CRC-32 by its rule, and the unsigned CRC-32 of the UTF-8 bytes of an expression.
+CRC_TABLE = "t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(CAST(n AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+
+
+def crc32_sql(text: str) -> str:
+    code = f"hex(encode({text}))"
+    octets = f"list_transform(range(1, len({code}) // 2 + 1), lambda i: CAST(('0x' || substr({code}, 2 * i - 1, 2)) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.spelling import spelling_variants, word_counts
+
+    return spelling_variants(word_counts(read(spark, sf_dir, "documents")))
+
+
+OP13_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+d AS (SELECT w, count(*) AS k, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS s FROM r GROUP BY doc_id, w),
+h AS (SELECT w, k, {crc32_sql("s")} AS h FROM d, t),
+e AS (SELECT k, CASE WHEN h % 31 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM h),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n, length(word) AS len FROM e WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS (SELECT word, len, i, left(word, i) AS l, substr(word, i + 2) AS r FROM (SELECT word, len, unnest(range(len)) AS i FROM v)),
+one AS (SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.len = b.len AND a.i = b.i AND a.l = b.l AND a.r = b.r AND a.word <> b.word),
+gap AS (SELECT DISTINCT v.word AS a, cut.word AS b FROM v JOIN cut ON cut.l || cut.r = v.word),
+near AS (SELECT a, b FROM one UNION ALL SELECT a, b FROM gap UNION ALL SELECT b, a FROM gap),
+f AS (SELECT a AS word, b, v.n AS m, count(*) OVER (PARTITION BY a) AS n_near FROM near JOIN v ON v.word = b QUALIFY row_number() OVER (PARTITION BY a ORDER BY v.n DESC, b) = 1),
+j AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * v.n THEN b END AS form, CASE WHEN m >= 10 * v.n THEN m END AS form_n FROM v LEFT JOIN f ON f.word = v.word),
+c(word, stop) AS (SELECT word, word FROM j UNION ALL SELECT c.word, j.form FROM c JOIN j ON j.word = c.stop WHERE j.form IS NOT NULL)
+SELECT j.word, j.form, c.stop AS root, j.n, j.n_near, j.form_n FROM j JOIN c ON c.word = j.word JOIN j last ON last.word = c.stop AND last.form IS NULL
+"""
+
+QUERIES = {"op8_revisits": op8_revisits, "op1_licenses": op1_licenses, "op5_quality": op5_quality, "op3_pfair": op3_pfair, "op7_topk": op7_topk, "op10_toxicity": op10_toxicity, "op9_passages": op9_passages, "op2_lattice": op2_lattice, "op4_minhash": op4_minhash, "op6_bpe": op6_bpe, "op13_variants": op13_variants}
+ORACLE_SQL: dict[str, str] = {"op2_lattice": OP2_SQL, "op4_minhash": OP4_SQL, "op8_revisits": OP8_SQL, "op1_licenses": license_sql(), "op3_pfair": OP3_SQL, "op7_topk": OP7_SQL, "op13_variants": OP13_SQL}
