@@ -177,8 +177,7 @@ CRC_TABLE = "t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_
 
 
 def crc32_sql(text: str) -> str:
-    code = f"hex(encode({text}))"
-    octets = f"list_transform(range(1, len({code}) // 2 + 1), lambda i: CAST(('0x' || substr({code}, 2 * i - 1, 2)) AS BIGINT))"
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST(('0x' || x) AS BIGINT))"
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
 
 
@@ -205,5 +204,57 @@ c(word, stop) AS (SELECT word, word FROM j UNION ALL SELECT c.word, j.form FROM
 SELECT j.word, j.form, c.stop AS root, j.n, j.n_near, j.form_n FROM j JOIN c ON c.word = j.word JOIN j last ON last.word = c.stop AND last.form IS NULL
 """
 
-QUERIES = {"op8_revisits": op8_revisits, "op1_licenses": op1_licenses, "op5_quality": op5_quality, "op3_pfair": op3_pfair, "op7_topk": op7_topk, "op10_toxicity": op10_toxicity, "op9_passages": op9_passages, "op2_lattice": op2_lattice, "op4_minhash": op4_minhash, "op6_bpe": op6_bpe, "op13_variants": op13_variants}
-ORACLE_SQL: dict[str, str] = {"op2_lattice": OP2_SQL, "op4_minhash": OP4_SQL, "op8_revisits": OP8_SQL, "op1_licenses": license_sql(), "op3_pfair": OP3_SQL, "op7_topk": OP7_SQL, "op13_variants": OP13_SQL}
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.trie import prefix_trie, with_shared_heads
+
+    return prefix_trie(*with_shared_heads(read(spark, sf_dir, "conversations"))).drop("role", "text")
+
+
+OP11_SQL = rf"""
+WITH {CRC_TABLE},
+n AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT conv_id, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h, conv_id - conv_id % 20 AS base FROM (SELECT DISTINCT conv_id FROM n), t),
+r AS (SELECT i.conv_id, pos, role, text FROM i JOIN n ON n.conv_id = i.conv_id AND pos > h UNION ALL SELECT i.conv_id, pos, role, text FROM i JOIN n ON n.conv_id = base AND pos <= h),
+s AS (SELECT conv_id, list(md5(role) || md5(text) ORDER BY pos) AS s, list(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) ORDER BY pos) AS k FROM r GROUP BY conv_id),
+a AS (SELECT i.conv_id, coalesce(s, []) AS s, coalesce(k, []) AS k FROM i LEFT JOIN s ON s.conv_id = i.conv_id),
+p AS (SELECT conv_id, d, array_to_string(list_slice(s, 1, d), '') AS key, CASE WHEN d > 0 THEN k[d] ELSE 0 END AS words, len(s) = d AS last FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM a)),
+v AS (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) * (count(*) - 1) AS saved, array_to_string(list(conv_id ORDER BY conv_id) FILTER (last), ',') AS ends FROM p GROUP BY d, key),
+c AS (SELECT v.d, v.key, count(*) AS n_children FROM v JOIN v b ON b.d = v.d + 1 AND starts_with(b.key, v.key) GROUP BY ALL),
+w AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN c ON c.d = v.d AND c.key = v.key)
+SELECT w.conv_id, w.d AS depth, any_value(up.conv_id) AS parent_conv_id, w.n_convs, w.n_children, count(*) FILTER (b.n_children = 0) AS n_leaves, CAST(sum(b.saved) AS BIGINT) AS saved_tokens, sha256(coalesce(w.ends, '')) AS ends_sha256
+FROM w JOIN w b ON b.d >= w.d AND starts_with(b.key, w.key) LEFT JOIN w up ON up.d = w.d - 1 AND starts_with(w.key, up.key) GROUP BY w.conv_id, w.d, w.n_convs, w.n_children, w.ends
+"""
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lectern.llm.sharding import OVERHEAD, shuffle_shards
+
+    out = shuffle_shards(read(spark, sf_dir, "documents").select("doc_id", "text"), shards=40)
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long")
+    crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0))
+    return out.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _draw_sql(text: str) -> str:
+    return f"CAST(('0x' || substr(md5({text}), 1, 15)) AS BIGINT)"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, {crc32_sql("coalesce(text, '')")} AS crc FROM documents, t),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, size, crc) - 1 AS copy FROM d),
+total AS (SELECT count(*) AS rows, greatest(1, (sum(size) + 16777215) // 16777216, (count(*) + 999) // 1000) AS buckets FROM d),
+h AS (SELECT n.*, {_draw_sql("'7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size || ':' || crc || ':' || copy")} AS h FROM n),
+b AS (SELECT h % buckets AS bucket, list({{'h': h, 'doc_id': doc_id, 'size': size, 'crc': crc}} ORDER BY h, doc_id NULLS FIRST, size, crc, copy) AS a FROM h, total GROUP BY bucket),
+f(bucket, i, a) AS (SELECT bucket, CAST(len(a) - 1 AS BIGINT), a FROM b UNION ALL
+  SELECT bucket, i - 1, list_transform(a, lambda x, k: CASE WHEN k = i + 1 THEN a[j + 1] WHEN k = j + 1 THEN a[i + 1] ELSE x END)
+  FROM (SELECT *, {_draw_sql("'7:swap:' || bucket || ':' || i")} % (i + 1) AS j FROM f WHERE i >= 0)),
+o AS (SELECT a, coalesce(sum(len(a)) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f WHERE i = -1),
+p AS (SELECT a[k].doc_id AS doc_id, a[k].size AS size, a[k].crc AS crc, CAST(before + k - 1 AS BIGINT) AS place FROM (SELECT a, before, unnest(range(1, len(a) + 1)) AS k FROM o))
+SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'rows' AS law, CAST(place * 40 // rows AS INTEGER) AS shard,
+  CAST(place - (place * 40 // rows * rows + 39) // 40 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p, total
+"""
+
+QUERIES = {"op8_revisits": op8_revisits, "op1_licenses": op1_licenses, "op5_quality": op5_quality, "op3_pfair": op3_pfair, "op7_topk": op7_topk, "op10_toxicity": op10_toxicity, "op9_passages": op9_passages, "op2_lattice": op2_lattice, "op4_minhash": op4_minhash, "op6_bpe": op6_bpe, "op11_trie": op11_trie, "op12_shards": op12_shards, "op13_variants": op13_variants}
+ORACLE_SQL: dict[str, str] = {"op2_lattice": OP2_SQL, "op4_minhash": OP4_SQL, "op8_revisits": OP8_SQL, "op1_licenses": license_sql(), "op3_pfair": OP3_SQL, "op7_topk": OP7_SQL, "op11_trie": OP11_SQL, "op12_shards": OP12_SQL, "op13_variants": OP13_SQL}
