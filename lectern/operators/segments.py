@@ -1,4 +1,4 @@
-"""Reading segments and extractive summaries of documents: sequential per document, so Arrow functions."""
+"""Reading segments with extractive summaries."""
 
 from __future__ import annotations
 
@@ -6,76 +6,15 @@ import math
 import re
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lectern.functions.sentences import scan_sentences
-from lectern.operators.sequences import spread
+from lectern.operators.cuts import segments
 
-# fixed values: aims and limits of a segment in words
-TARGET, LEAST, MOST = 650, 450, 850
-_WORD = re.compile(r"[\w'-]*\w[\w'-]*")
 _TOKEN = re.compile(r"[a-z][a-z'-]*")
 
 
-def sentences_of(text: str | None) -> list[tuple[str, bool]]:
-    """Sentences with whether they are headings: lines that start with #, or short ones without a mark."""
-    out = []
-    for line in (text or "").split("\n"):
-        line = line.strip()
-        if not line:
-            continue
-        if line.startswith("#"):
-            out.append((line, True))
-        else:
-            out += [(s, False) for s in scan_sentences(line)]
-    return out
-
-
-def strengths(sentences: list[tuple[str, bool]], size: int = 4) -> dict[int, float]:
-    """Boundary after a sentence to its strength: 1 - cosine of TF-IDF of neighbouring blocks of `size`
-    sentences, and 1.5 before a heading."""
-    blocks = [sentences[i : i + size] for i in range(0, len(sentences), size)]
-    terms = [Counter(t for s, _ in b for t in _TOKEN.findall(s.lower())) for b in blocks]
-    df = Counter(t for c in terms for t in c)
-    idf = {t: np.log((1 + len(blocks)) / (1 + n)) + 1 for t, n in df.items()}
-    vec = [{t: n / max(1, c.total()) * idf[t] for t, n in c.items()} for c in terms]
-    norm = [np.sqrt(sum(x * x for x in v.values())) for v in vec]
-    out = {}
-    for i in range(len(blocks) - 1):
-        dot = sum(x * vec[i + 1].get(t, 0.0) for t, x in vec[i].items())
-        out[i * size + len(blocks[i]) - 1] = 1 - (dot / (norm[i] * norm[i + 1]) if norm[i] and norm[i + 1] else 0.0)
-    for i, (_, heading) in enumerate(sentences[1:]):
-        if heading:
-            out[i] = max(1.5, out.get(i, 0.0))
-    return out
-
-
-def cut(counts: np.ndarray, bounds: dict[int, float]) -> list[tuple[int, int]]:
-    """Spans (first, last) of sentences: each ends at the strongest boundary between LEAST and MOST words,
-    of equals the one nearest to TARGET, else at the sentence nearest to it. All that fits MOST is one
-    span; a short last one joins the one before while both keep within a quarter over MOST."""
-    total = np.concatenate(([0], np.cumsum(counts)))
-    n, spans, start = len(counts), [], 0
-    while start < n:
-        if total[n] - total[start] <= (MOST if not spans else LEAST):
-            spans.append((start, n - 1))
-            break
-        words = total[start + 1 :] - total[start]
-        lo = start + int(np.searchsorted(words, LEAST))
-        hi = min(n - 1, start + int(np.searchsorted(words, MOST, "right")) - 1)
-        inside = [(-bounds[i], abs(int(words[i - start]) - TARGET), i) for i in range(lo, hi + 1) if i in bounds]
-        end = min(inside)[2] if inside else start + int(np.abs(words - TARGET).argmin())
-        spans.append((start, min(end, n - 1)))
-        start = spans[-1][1] + 1
-    if len(spans) > 1:
-        (a, _), (b, z) = spans[-2:]
-        if total[z + 1] - total[b] < LEAST and total[z + 1] - total[a] <= 1.25 * MOST:
-            spans[-2:] = [(a, z)]
-    return spans
-
-
 def summarise(sentences: list[tuple[str, bool]], most: int = 2) -> str:
     """The sentences that together cover the segment's terms best, in their order, neighbours only if need be.
 
@@ -103,29 +42,15 @@ def summarise(sentences: list[tuple[str, bool]], most: int = 2) -> str:
     return " ".join(body[i] for i in sorted(chosen))
 
 
-SEGMENT = "doc_id long, segment_id int, first_sentence int, last_sentence int, word_count int, content string, summary string"
-
-
 def segment_documents(docs: DataFrame) -> DataFrame:
-    """Segments of each text, with counts, content and an extractive summary; null or blank texts have none.
+    """Segments of each text (`cuts.segments`) with an extractive summary; null or blank texts have none.
 
-    Every sentence is in one segment, in order. Rows are independent; only a table of fewer partitions than cores is dealt out.
+    The cuts are planned by Spark; only a segment's own sentences go to Python, for the summary.
     """
 
-    def run(batches):
-        for b in batches:
-            rows: list = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = sentences_of(text)
-                if not s:
-                    continue
-                counts = np.array([len(_WORD.findall(x)) for x, _ in s])
-                for k, (a, z) in enumerate(cut(counts, strengths(s) if counts.sum() > MOST else {})):
-                    part = s[a : z + 1]
-                    rows.append((doc, k + 1, a + 1, z + 1, int(counts[a : z + 1].sum()), " ".join(x for x, _ in part), summarise(part)))
-            if rows:
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-                names = [f.split(" ")[0] for f in SEGMENT.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    @F.arrow_udf("string")
+    def summary(part: pa.Array) -> pa.Array:
+        return pa.array([summarise([(x["text"], x["heading"]) for x in p]) for p in part.to_pylist()], pa.string())
 
-    return spread(docs.select("doc_id", "text")).mapInArrow(run, SEGMENT)
+    d = segments(docs, parts=True)
+    return d.select("doc_id", "segment_id", "first_sentence", "last_sentence", "word_count", "content", summary("part").alias("summary"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.functions.paragraphs import bound
 from lectern.operators import gates as G
 from lectern.operators import state as S
+from lectern.operators.cuts import computed
 from lectern.plans.registry import query
 
 _ROLES = "WITH m AS (SELECT conv_id, list(role ORDER BY turn, role, text) AS roles, count(*) AS n, bool_or(trim(text) = '') AS blank FROM conversations GROUP BY conv_id)"
@@ -57,9 +59,9 @@ i AS (SELECT *, CASE WHEN NOT object THEN ['not_object'] ELSE list_filter([CASE
 def labels_json(t):
     """Labels made of documents' words, of which some lack keys or have values of other types."""
     d, k = t.documents, F.col("doc_id")
-    w = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
-    s = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.concat(F.array_join(F.slice(w, 3 * i + 1, F.lit(3)), " "), F.lit(".")))
-    d = d.select("doc_id", s.alias("s"))
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)), 1, 60)
+    parts = bound(words, lambda w: F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.concat(F.array_join(F.slice(w, 3 * i + 1, F.lit(3)), " "), F.lit("."))))
+    d = computed(d, s=parts).select("doc_id", "s")
     idea = F.array_join(F.slice("s", F.lit(1), (1 + k % 3).cast("int")), " ")
     at = lambda i: F.get(F.col("s"), i.cast("int"))
     point = lambda i: F.when((i == 1) & (k % 9 == 8), "").when((i == 2) & (k % 5 == 0), F.concat(at(i + 3), F.lit(" "), at(i + 9))).otherwise(at(i + 3))
@@ -68,7 +70,7 @@ def labels_json(t):
     points = F.when(k % 13 == 5, '{"1":"a"}').otherwise(points)
     main = F.when(k % 7 == 3, "5").otherwise(F.concat(F.lit('"'), idea, F.lit('"')))
     body = F.concat(F.lit('{"main_idea":'), main, F.when(k % 23 == 9, "").otherwise(F.concat(F.lit(',"key_points":'), points)), F.when(k % 17 == 6, ',"more":null').otherwise(""), F.lit("}"))
-    return d.select("doc_id", F.when(k % 19 == 7, F.concat(F.lit("["), body, F.lit("]"))).otherwise(body).alias("json"))
+    return computed(d, json=F.when(k % 19 == 7, F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)).select("doc_id", "json")
 
 
 @query(_LABELS + """ SELECT doc_id, array_to_string(issues, ',') AS issues, CASE WHEN object AND NOT missing AND NOT extra AND told AND listed AND NOT odd AND NOT blank AND np >= 4 THEN CASE WHEN np > 4 THEN 'truncated' ELSE 'pass' END ELSE 'error' END AS action,

@@ -46,28 +46,18 @@ def test_scan_sentences():
 
 
 def test_segments_cover_every_sentence_once(spark, sf_dir):
-    from lectern.operators import segments as G
+    from lectern.operators import cuts, segments as G
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {}
     for r in G.segment_documents(docs).collect():
         got.setdefault(r.doc_id, []).append(r)
-    for d in docs.collect():
-        s = sorted(got[d.doc_id], key=lambda r: r.segment_id)
-        assert [r.segment_id for r in s] == list(range(1, len(s) + 1))
-        assert s[0].first_sentence == 1 and all(a.last_sentence + 1 == b.first_sentence for a, b in zip(s, s[1:], strict=False))
-        assert s[-1].last_sentence == len(G.sentences_of(d.text))
-    assert G.segment_documents(spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")).collect() == []
-
-
-def test_segment_limits():
-    import numpy as np
-
-    from lectern.operators.segments import cut
-
-    counts = np.full(100, 20)
-    spans = cut(counts, {30: 0.9, 25: 0.5, 70: 0.3})
-    assert spans[0] == (0, 30) and spans[-1][1] == 99 and all(450 <= 20 * (z - a + 1) <= 850 * 1.25 for a, z in spans)
+    for d in cuts.segment_cuts(docs).collect():
+        s = sorted(got.pop(d.doc_id, []), key=lambda r: r.segment_id)
+        assert [r.segment_id for r in s] == list(range(1, len(s) + 1)) and all(a.last_sentence < b.first_sentence for a, b in zip(s, s[1:], strict=False))
+        assert " ".join(r.content for r in s) == " ".join(x["text"] for x in d.s) and sum(r.word_count for r in s) == sum(x["words"] for x in d.s)
+        assert all(x in r.content for r in s for x in r.summary.split(". "))
+    assert not got and G.segment_documents(spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")).collect() == []
 
 
 def test_streams_match_batch(spark, sf_dir, tmp_path):
