@@ -56,7 +56,7 @@ def test_segments_cover_every_sentence_once(spark, sf_dir):
         s = sorted(got.pop(d.doc_id, []), key=lambda r: r.segment_id)
         assert [r.segment_id for r in s] == list(range(1, len(s) + 1)) and all(a.last_sentence < b.first_sentence for a, b in zip(s, s[1:], strict=False))
         assert " ".join(r.content for r in s) == " ".join(x["text"] for x in d.s) and sum(r.word_count for r in s) == sum(x["words"] for x in d.s)
-        assert all(x in r.content for r in s for x in r.summary.split(". "))
+        assert all(set(r.summary.split()) <= set(r.content.split()) for r in s)
     assert not got and G.segment_documents(spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")).collect() == []
 
 
