@@ -50,7 +50,7 @@ def marked_sentences(text: Column) -> Column:
         level = F.length(F.regexp_extract(p, r"^(#{1,6}) [^\s]", 1))
 
         def marked(m):
-            parts = F.when(m["heading"], F.array(p)).otherwise(F.filter(F.transform(F.split(p, _SPLIT), F.trim), lambda s: s != ""))
+            parts = F.when(m["heading"], F.array(p)).otherwise(F.filter(F.transform(F.split(p, _SPLIT), lambda x: F.trim(x)), lambda s: s != ""))
             return F.transform(parts, lambda s: F.struct(
                 s.alias("text"), word_count(s).alias("words"), m["level"].alias("level"), m["heading"].alias("heading"),
                 (m["inside"] | ~m["heading"] & s.rlike(REFERENCE_LINE)).alias("reference"),
