@@ -432,3 +432,30 @@ def test_mixing_awkward(spark):
     assert mixing.mix(d, spark.createDataFrame([("s", None)], "source string, weight double")).count() == d.count()
     e = edge.documents(spark, [])
     assert mixing.mix(e, mixing.target_weights(e)).collect() == []
+
+
+@pytest.mark.parametrize("order", itertools.permutations(range(3)))
+def test_passages_of_repeated_ids_with_other_texts(spark, order):
+    """In any order of the rows the passage is found once and cut from the text that holds it, and from no other."""
+    from lectern.llm.passages import cut_passages, repeated_passages
+
+    p = edge.words(60, 70)
+    held, other = p + " " + edge.words(20, 71), edge.words(100, 72)
+    rows = [(1, p, "en", "s"), (2, held, "en", "s"), (2, other, "en", "s")]
+    docs = edge.documents(spark, [rows[i] for i in order]).coalesce(1)
+    spans = repeated_passages(docs, forms=True)
+    assert [(r.doc_id, r.source_doc_id, r.start_word, r.n_words) for r in spans.collect()] == [(2, 1, 0, 60)]
+    assert "form" not in repeated_passages(docs).columns
+    left = sorted((r.doc_id, len(r.text.split())) for r in cut_passages(docs, spans).collect())
+    assert left == [(1, 60), (2, 20), (2, 100)]
+
+
+def test_passages_between_texts_of_one_id(spark):
+    from lectern.llm.passages import cut_passages, repeated_passages
+
+    p = edge.words(60, 80)
+    docs = edge.documents(spark, [(5, p + " " + edge.words(30, 81), "en", "s"), (5, edge.words(30, 82) + " " + p, "en", "s"), (5, edge.words(30, 82) + " " + p, "en", "s"), (None, p, "en", "s"), (6, None, "en", "s"), (6, "", "en", "s")])
+    spans = repeated_passages(docs, forms=True)
+    assert [(r.doc_id, r.source_doc_id, r.n_words) for r in spans.collect()] == [(5, 5, 60)]
+    left = sorted(len(r.text.split()) for r in cut_passages(docs, spans).where("doc_id = 5").collect())
+    assert left in ([30, 90, 90], [30, 30, 90])
