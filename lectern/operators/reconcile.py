@@ -72,20 +72,21 @@ def title_classes(df: DataFrame, key: str, title: str, stop: list[str], shared:
     return d.join(d.groupBy("w").agg(F.min(key).alias("representative")), "w").select(key, "representative")
 
 
-def near_title_pairs(df: DataFrame, key: str, title: str, stop: list[str], least: float = 0.8, shared: int = 3) -> DataFrame:
-    """Pairs of rows whose titles' token sets reach a Jaccard similarity and share `shared` tokens.
+def near_title_pairs(df: DataFrame, key: str, title: str, stop: list[str], least: float = 0.8, shared: int = 3, kind: str | None = None) -> DataFrame:
+    """Pairs of rows whose titles' token sets reach a Jaccard similarity and share `shared` tokens; of one kind, if given.
 
     Equal sets collapse to their smallest key first; `title_classes` has the rows that it stands for. Of a set's tokens in the order of rarity only so many need be looked up
     that two similar sets can't miss each other (prefix filter); pairs meet on those.
     """
-    d = df.select(key, token_set(F.col(title), stop).alias("w")).withColumn("w", F.array_sort("w")).where(F.size("w") >= shared)
-    same = d.groupBy("w").agg(F.min(key).alias(key))
+    of = F.lit(None).cast("string") if kind is None else F.col(kind).cast("string")
+    d = df.select(key, of.alias("kind"), token_set(F.col(title), stop).alias("w")).withColumn("w", F.array_sort("w")).where(F.size("w") >= shared)
+    same = d.groupBy("kind", "w").agg(F.min(key).alias(key))
     n = same.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    t = same.select(key, F.size("w").alias("n"), F.explode("w").alias("t")).join(n, "t")
-    ranked = t.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("r"))
+    t = same.select(key, "kind", F.size("w").alias("n"), F.explode("w").alias("t")).join(n, "t")
+    ranked = t.groupBy(key, "kind", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("r"))
     prefix = F.slice("r", 1, (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))
-    p = ranked.select(key, "n", F.explode(prefix).alias("x")).select(key, "n", F.col("x.t").alias("t"))
-    pairs = p.alias("a").join(p.alias("b"), F.expr(f"a.t = b.t and a.{key} < b.{key} and a.n >= {least} * b.n and b.n >= {least} * a.n"))
+    p = ranked.select(key, "kind", "n", F.explode(prefix).alias("x")).select(key, "kind", "n", F.col("x.t").alias("t"))
+    pairs = p.alias("a").join(p.alias("b"), F.expr(f"a.t = b.t and a.kind <=> b.kind and a.{key} < b.{key} and a.n >= {least} * b.n and b.n >= {least} * a.n"))
     pairs = pairs.select(F.col(f"a.{key}").alias("x"), F.col(f"b.{key}").alias("y")).distinct()
     w = same.select(key, "w")
     j = pairs.join(w.select(F.col(key).alias("x"), F.col("w").alias("wx")), "x").join(w.select(F.col(key).alias("y"), F.col("w").alias("wy")), "y")
