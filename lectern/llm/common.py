@@ -43,13 +43,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def spill(df: DataFrame) -> DataFrame:
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def spill(df: DataFrame, clean: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
-    The result has no lineage, so that a lost executor costs a re-read and not a re-computation.
+    The result has no lineage, so that a lost executor costs a re-read and not a re-computation. With `clean`
+    the shuffle files that were needed to write it go at once, and not when the driver collects garbage.
     """
     path = f"{shared_dir(df.sparkSession)}/spill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    was = conf.get(_CLEAN, None)
+    if clean:
+        conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if clean:
+            conf.unset(_CLEAN) if was is None else conf.set(_CLEAN, was)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
