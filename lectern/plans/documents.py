@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from lectern.functions import paragraphs as P
 from lectern.functions.sentences import sentence_units, split_at_marks
 from lectern.operators import cuts as C
+from lectern.operators import excerpts as E
 from lectern.operators.segments import segment_documents as summarised_segments
+from lectern.operators.sequences import spread
 from lectern.plans.registry import query
 
 _NO_END = "|".join(x[:-1].replace(".", r"\.") for x in P.NO_END)
@@ -74,6 +76,33 @@ def segment_cuts_headed(t):
     return C.segments(headed(t)).withColumn("content", F.md5("content"))
 
 
+_LENGTHS = ", ".join(f"('{k}', {a}, {b}, {c})" for k, (a, b, c) in E.LENGTHS.items())
+
+
+def _marks_sql(text: str) -> str:
+    t = f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+    for a in ("e.g.", "i.e.", "U.S.", "U.K."):
+        t = f"replace({t}, '{a}', '{a.replace('.', chr(0x2024))}')"
+    cut = f"string_split(regexp_replace({t}, '([.!?])\\s+([A-Z0-9\"''(\\[])', '\\1' || chr(2) || '\\2', 'g'), chr(2))"
+    return f"list_filter(list_transform({cut}, lambda x: trim(replace(x, '{chr(0x2024)}', '.'))), lambda x: x <> '')"
+
+
+@query(f"""WITH {_segments_sql("text").split(",\nh AS")[0]},
+w AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS i, CAST(sum(len(regexp_extract_all(g, '{P.WORD.replace("'", "''")}'))) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS upto FROM g),
+s AS (SELECT w.doc_id, w.i AS start, coalesce(b.upto, 0) AS base, l.* FROM w LEFT JOIN w b ON b.doc_id = w.doc_id AND b.i = w.i - 1 CROSS JOIN (VALUES {_LENGTHS}) l(bucket, least, most, target) WHERE w.i < {E.STARTS}),
+f AS (SELECT s.*, w.i, w.upto - base AS words FROM s JOIN w ON w.doc_id = s.doc_id AND w.i >= s.start AND w.upto - base <= most),
+nf AS (SELECT s.doc_id, s.bucket, s.start, s.least, s.most, s.target, count(f.i) AS n, coalesce(max(f.words), 0) AS taken FROM s LEFT JOIN f ON f.doc_id = s.doc_id AND f.bucket = s.bucket AND f.start = s.start GROUP BY ALL),
+m AS (SELECT nf.*, unnest({_marks_sql("w.g")}) AS t, generate_subscripts({_marks_sql("w.g")}, 1) AS k FROM nf JOIN w ON w.doc_id = nf.doc_id AND w.i = nf.start + nf.n),
+c AS (SELECT doc_id, bucket, start, least, target, words, i - start + 1 AS pieces, i - start + 1 AS whole, 0 AS sentences FROM f UNION ALL
+  SELECT doc_id, bucket, start, least, target, words, n + k, n, k FROM (SELECT *, taken + CAST(sum(len(regexp_extract_all(t, '{P.WORD.replace("'", "''")}'))) OVER (PARTITION BY doc_id, bucket, start ORDER BY k) AS BIGINT) AS words FROM m) WHERE words <= most),
+b AS (SELECT * FROM c WHERE words >= least QUALIFY row_number() OVER (PARTITION BY doc_id, bucket ORDER BY abs(words - target), start, pieces, words, whole) = 1)
+SELECT b.doc_id, b.bucket, CAST(b.start AS INTEGER) AS start, words, CAST(pieces AS INTEGER) AS pieces, md5(array_to_string(list_concat((SELECT list(g ORDER BY i) FROM w WHERE w.doc_id = b.doc_id AND i >= b.start AND i < b.start + whole), list_slice({_marks_sql("x.g")}, 1, sentences)), chr(10) || chr(10))) AS excerpt
+FROM b LEFT JOIN w x ON x.doc_id = b.doc_id AND x.i = b.start + whole""")
+def length_excerpts(t):
+    """Excerpts of each length that a document can give: where they begin, words, pieces and digest."""
+    return E.excerpts(spread(t.documents)).withColumn("excerpt", F.md5("excerpt"))
+
+
 @query()
 def segment_documents(t):
     """Reading segments of each document, with their summaries."""
