@@ -1,4 +1,4 @@
-"""Toxicity by nearest labelled examples under exact TF-IDF cosine, from a block-max inverted index."""
+"""Toxicity by nearest labelled examples by cosine, computed exactly, of TF-IDF weights with label words lifted, from an inverted index with block maxima."""
 
 from __future__ import annotations
 
@@ -256,7 +256,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Examples are labelled documents (a bounded sample, broadcast: SAMPLE rows with all their words). Every
     word is a term; words and word beginnings that go with label 1 beyond chance weigh LIFT times. Of
-    each document the NEIGHBOURS examples of greatest exact TF-IDF cosine vote with their squared
+    each document the NEIGHBOURS examples of greatest cosine (TF-IDF, words that go with label 1 times LIFT) vote with their squared
     cosine, and the base rate with weight PRIOR; the vote is calibrated on the examples' own votes, each
     taken without itself. Inputs of a score are texts alone.
 
