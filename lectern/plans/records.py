@@ -36,7 +36,7 @@ def record_manifest(t):
     from lectern.operators.sequences import number_rows
 
     d = t.documents.select("doc_id", F.sha2("text", 256).alias("stable_hash"), "lang", F.length("text").cast("long").alias("chars"))
-    d = d.withColumn("record_id", F.concat_ws(":", "lang", F.left("stable_hash", F.lit(12))))
+    d = d.withColumn("record_id", F.concat("lang", F.lit(":"), F.left("stable_hash", F.lit(12))))
     return number_rows(d, ["doc_id"], name="pair_index").select("pair_index", "doc_id", "stable_hash", "record_id", "chars")
 
 
@@ -194,7 +194,7 @@ def topic_boundaries(t):
 
     d = number_rows(t.embeddings.select("label", "vec_id", "embedding"), ["vec_id"], ["label"], "n")
     nxt = d.select(F.col("label").alias("l2"), (F.col("n") - 1).alias("n2"), F.col("embedding").alias("f"))
-    j = d.join(nxt, F.expr("label = l2 and n = n2"))
+    j = d.join(nxt, F.expr("label <=> l2 and n = n2"))
     return j.select("label", F.col("vec_id").alias("after_id"), F.round(1 - cosine(F.col("embedding"), F.col("f")), 6).alias("strength"))
 
 

@@ -86,6 +86,15 @@ def test_numbers_without_a_single_task(spark):
     assert {(r.id, r.number) for r in number_rows(d, ["id"], ["g"]).collect()} == {(i, i // 3) for i in range(1_000)}
 
 
+def test_numbers_of_rows_that_are_read_twice(spark):
+    from lectern.operators.sequences import adjacent_pairs, number_rows
+
+    d = spark.range(10_000).selectExpr("(id * 7919) % 10000 as id", "transform(sequence(1, 64), i -> double(xxhash64(id, i))) as v", "if(id % 5 = 0, null, 'x') as g")
+    assert adjacent_pairs(d, "id", "v").where("next_id = id + 1").count() == 9_999
+    n = number_rows(d, ["id"], ["g"]).select("g", "number", F.hash("v"))
+    assert n.groupBy("g").agg(F.count("*"), F.countDistinct("number"), F.max("number")).orderBy("g").collect() == [(None, 2_000, 2_000, 1_999), ("x", 8_000, 8_000, 7_999)]
+
+
 def test_equal_titles_keep_their_class(spark):
     from lectern.operators import reconcile as R
 
