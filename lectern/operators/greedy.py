@@ -2,26 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions.paragraphs import bound
 from lectern.operators.reconcile import near_title_pairs, token_set
-from lectern.operators.sequences import number_rows
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder that spark.checkpoint.dir names; a local session without one gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if path is None and sc.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="lectern-"))
-    return df.checkpoint()
+from lectern.operators.sequences import number_rows, settled
 
 
 def first_independent(pairs: DataFrame) -> DataFrame:
@@ -152,7 +139,7 @@ def median_picks(df: DataFrame, plan: list[tuple[str, str]], domain: str, bucket
     few rows of each group come to the driver; groups are numbered by range, however large.
     """
     levels = {"cell": [domain, bucket], "domain": [domain], "bucket": [bucket], "any": []}
-    rows = df.select(*dict.fromkeys([domain, bucket, *order]))
+    rows = settled(df.select(*dict.fromkeys([domain, bucket, *order])))  # read for each level more than once
     near: dict[tuple, list] = {}
     size: dict[tuple, int] = {}
     for level, by in levels.items():

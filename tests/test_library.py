@@ -103,6 +103,44 @@ def test_equal_titles_keep_their_class(spark):
     assert {(r.x, r.y) for r in R.near_title_pairs(d, "k", "t", ["the"]).collect()} == {(1, 4)}
 
 
+def test_excerpt_issues_count_as_sql_does(spark):
+    from lectern.functions import predicates as P
+
+    texts = ["a. b. c. d. a. b. x", "a. x b. x c. x d. x a. x b. x", "a12345b A1 a12345_ (a12345", "a12345 a12346 a12345 a12347 b"]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    got = d.orderBy("i").select(P.is_exercise_page(F.col("t")), P.has_excerpt_issue(F.col("t"))).collect()
+    assert [r[:] for r in got] == [(False, False), (True, False), (False, True), (False, False)]
+
+
+def test_near_titles_and_adjacent_documents_match_loops(spark):
+    import math
+    import random
+    from collections import Counter
+
+    from lectern.operators import reconcile as R
+
+    r = random.Random(3)
+    rows = [(i, "xy"[i % 2], " ".join(r.choice("abcdefghijklmnop") * 3 for _ in range(r.randint(0, 14)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "k long, s string, t string")
+    sets = {}
+    for k, _, t in rows:
+        if len(set(t.split())) >= 3:
+            sets.setdefault(frozenset(t.split()), k)
+    for least in (0.5, 0.8):
+        want = {(k, m): round(len(a & b) / len(a | b), 9) for a, k in sets.items() for b, m in sets.items() if k < m and len(a & b) >= 3 and len(a & b) / len(a | b) >= least}
+        assert want and {(x.x, x.y): x.similarity for x in R.near_title_pairs(df, "k", "t", [], least).collect()} == want
+    want = {}
+    for s in "xy":
+        docs = [(k, t.split()) for k, g, t in rows if g == s]
+        seen = Counter(w for _, t in docs for w in set(t))
+        v = [{w: n / len(t) * (math.log((1 + len(docs)) / (1 + seen[w])) + 1) for w, n in Counter(t).items()} for _, t in docs]
+        for i in range(len(docs) - 1):
+            norm = math.sqrt(sum(x * x for x in v[i].values()) * sum(x * x for x in v[i + 1].values()))
+            want[s, docs[i][0], docs[i + 1][0]] = sum(x * v[i + 1].get(w, 0) for w, x in v[i].items()) / norm if norm else 0.0
+    got = {(x.s, x.k, x.next_id): x.similarity for x in R.tfidf_adjacent(df.withColumnRenamed("t", "text"), "s", "k").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
 def test_drift_and_gates(spark):
     from lectern.operators import gates, state
 
