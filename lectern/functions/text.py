@@ -43,19 +43,24 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(part / whole)
 
 
+def char_count(text: Column, kind: str) -> Column:
+    """Number of characters of a class: what is lost without them, since a list of matches costs more."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{kind}+", ""))
+
+
 def alpha_ratio(text: Column) -> Column:
     """Letters among all characters."""
-    return ratio(F.regexp_count(text, F.lit(r"\p{L}")), F.length(text))
+    return ratio(char_count(text, r"\p{L}"), F.length(text))
 
 
 def dense_alpha_ratio(text: Column) -> Column:
     """Letters among characters that aren't blank."""
-    return ratio(F.regexp_count(text, F.lit(r"\p{L}")), F.regexp_count(text, F.lit(r"\S")))
+    return ratio(char_count(text, r"\p{L}"), char_count(text, r"\S"))
 
 
 def latin_ratio(text: Column) -> Column:
     """A-Z and a-z among letters."""
-    return ratio(F.regexp_count(text, F.lit("[A-Za-z]")), F.regexp_count(text, F.lit(r"\p{L}")))
+    return ratio(char_count(text, "[A-Za-z]"), char_count(text, r"\p{L}"))
 
 
 def collapse_spaces(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.operators.cuts import computed
+from lectern.operators.sequences import spread
 from lectern.plans.registry import query
 
 _COUNT = "CAST(len(regexp_extract_all({}, '{}')) AS INTEGER)"
@@ -30,7 +32,9 @@ _LETTERS, _LATIN, _DENSE = (f"len(regexp_extract_all(text, '{p}'))" for p in (r"
 def char_ratios(t):
     """Letters among characters, among non-blanks, and Latin letters among letters."""
     c = F.col("text")
-    return t.documents.select("doc_id", F.round(X.alpha_ratio(c), 9).alias("alpha_ratio"), F.round(X.dense_alpha_ratio(c), 9).alias("dense_alpha_ratio"), F.round(X.latin_ratio(c), 9).alias("latin_ratio"))
+    d = computed(spread(t.documents.select("doc_id", "text")), all=F.length(c), letters=X.char_count(c, r"\p{L}"), dense=X.char_count(c, r"\S"), latin=X.char_count(c, "[A-Za-z]"))
+    parts = {"alpha_ratio": ("letters", "all"), "dense_alpha_ratio": ("letters", "dense"), "latin_ratio": ("latin", "letters")}
+    return d.select("doc_id", *[F.round(X.ratio(F.col(a), F.col(b)), 9).alias(n) for n, (a, b) in parts.items()])
 
 
 @query(rf"""SELECT doc_id, {_n("text", X.MATH_SYMBOLS)} AS math_symbols, {_n("text", "[0-9]")} AS digits, {_n("text", "[?]")} AS question_marks, {_n("text", "https?://")} AS urls,
