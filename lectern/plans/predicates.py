@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import predicates as P
 from lectern.functions import text as X
+from lectern.operators.cuts import computed
 from lectern.operators.sequences import spread
 from lectern.plans.registry import query
 
@@ -31,10 +32,8 @@ def excerpt_issues(t):
 @query()
 def prose_flags(t):
     """Bad lines and sentences, list-like documents, and whether the whole text would do as a window."""
-    d = spread(t.documents)
-    c = F.col("text")
-    lines = F.split("text", "\n")
-    flat = X.collapse_spaces(c)
+    c, flat, lines = F.col("text"), F.col("flat"), F.col("lines")
+    d = computed(spread(t.documents.select("doc_id", "text")), flat=X.collapse_spaces(c), lines=F.split(c, "\n"))
     return d.select(
         "doc_id", F.size(F.filter(lines, P.is_bad_line)).alias("bad_lines"), F.size(F.filter(lines, P.is_bad_sentence)).alias("bad_sentences"),
         P.is_list_like(c).alias("list_like"), P.is_good_window(flat, X.word_count(c), X.terminal_marks(c)).alias("good_window"),
