@@ -421,6 +421,17 @@ def test_mixing_keeps_all_documents(spark, monkeypatch):
         assert off_by(plan, share) < 1 + 1e-6 and len(plan) == len({s for s, _ in plan})
 
 
+def test_mixing_is_the_same_in_many_rounds(spark, monkeypatch):
+    """Earliest deadline first in blocks of BLOCK_DOCS, whatever number of slots one round of the fold has."""
+    from lectern.llm import mixing
+
+    d = edge.documents(spark, [(i, "x", "en", "abc"[min(2, i % 7 // 3)]) for i in range(3_000)])
+    w = spark.createDataFrame([("a", 3.0), ("b", 2.0), ("c", 5.0)], "source string, weight double")
+    one = sorted(mixing.mix(d, w).collect())
+    monkeypatch.setattr(mixing, "SLOTS", 100)
+    assert sorted(mixing.mix(d, w).collect()) == one and max(r.slot for r in one) > 200
+
+
 def test_mixing_awkward(spark):
     from lectern.llm import mixing
 
