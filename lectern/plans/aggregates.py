@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from lectern.functions import text as X
 from lectern.operators import metrics as M
+from lectern.operators.cuts import computed
 from lectern.operators.sequences import spread
 from lectern.plans.registry import query
 
@@ -17,7 +18,8 @@ _SIZED = f"WITH d AS (SELECT *, {_BUCKET} AS bucket FROM (SELECT doc_id, lang, s
 
 def sized(docs):
     """Documents with their ASCII words and natural bucket, without text."""
-    return spread(docs).select("doc_id", "lang", "source", X.word_count(F.col("text")).cast("long").alias("words")).withColumn("bucket", X.natural_bucket(F.col("words")))
+    d = computed(spread(docs.select("doc_id", "lang", "source", "text")), words=X.word_count(F.col("text")).cast("long")).drop("text")
+    return d.withColumn("bucket", X.natural_bucket(F.col("words")))
 
 
 @query(_SIZED + """ SELECT lang, bucket, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY lang), 6) AS percent,

@@ -37,3 +37,20 @@ def test_entry(spark):
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     plan = QUERIES["pricing_summary"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(l_shipdate" in plan and "l_partkey" not in plan
+
+
+def plan_of(spark, sf_dir, name):
+    return QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_counted_once_a_row(spark, sf_dir):
+    assert plan_of(spark, sf_dir, "length_histogram").count("regexp_extract_all") == 1
+
+
+def test_pieces_meet_before_they_become_terms(spark, sf_dir):
+    assert "keys=[raw#" in plan_of(spark, sf_dir, "lookup_terms")
+
+
+def test_sentences_are_computed_once(spark, sf_dir):
+    plan = plan_of(spark, sf_dir, "segment_cuts")
+    assert "written-" in plan and "documents.parquet" not in plan
