@@ -137,8 +137,9 @@ k AS (SELECT doc_id, raw, lower(regexp_replace(trim(regexp_replace(raw, '[ \\t\\
 SELECT term, count(*) AS n FROM k WHERE length(term) <= 50 AND regexp_matches(term, '^[A-Za-z]+(?:[''-][A-Za-z]+)*$') GROUP BY term HAVING count(*) >= 20""")
 def lookup_terms(t):
     """Dictionary terms that occur twenty times or more."""
-    k = t.documents.select(F.explode(F.split("text", " ")).alias("raw")).select(X.lookup_term(F.col("raw")).alias("term"))
-    return k.where(X.is_single_word(F.col("term"))).groupBy("term").agg(F.count("*").alias("n")).where("n >= 20")
+    raw = spread(t.documents.select("text")).select(F.explode(F.split("text", " ")).alias("raw")).groupBy("raw").agg(F.count("*").alias("n"))
+    k = computed(raw, term=X.lookup_term(F.col("raw")))  # once for each distinct piece
+    return k.where(X.is_single_word(F.col("term"))).groupBy("term").agg(F.sum("n").alias("n")).where("n >= 20")
 
 
 _PARAGRAPHS = "WITH p AS (SELECT doc_id, generate_subscripts(s, 1) AS pos, trim(unnest(s)) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))"
