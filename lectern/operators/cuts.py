@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions.paragraphs import REFERENCE_TITLE, bound, content_sentences, marked_sentences, running_sums
-from lectern.operators.sequences import spread
+from lectern.operators.sequences import spread, written
 
 # fixed values: aim and limits of a segment in words, sentences of a block, words before an early cut at a
 # heading, least words on both sides of a cut at the second of two headings, strengths of headings
@@ -148,18 +148,14 @@ def segment_cuts(docs: DataFrame, least: int = LEAST, most: int = MOST, target:
 
     A row for each row of docs, repeated ones too; texts that are null or without content have no segments.
     A row's sentences stay in the row; only texts that must be cut have their terms counted across rows.
+    Sentences are read four times, so they are written once.
     """
-    def sentences(docs: DataFrame) -> DataFrame:
-        rows = computed(docs, s=content_sentences(marked_sentences(F.col("text")))).drop("text")
-        return computed(rows, p=running_sums(F.transform("s", lambda x: x["words"])))
-
-    texts = spread(docs.select("doc_id", "text"))
-    rows = sentences(texts)
+    rows = computed(spread(docs.select("doc_id", "text")), s=content_sentences(marked_sentences(F.col("text")))).drop("text")
+    rows = written(computed(rows, p=running_sums(F.transform("s", lambda x: x["words"]))))
     long = (F.size("p") > 0) & (F.coalesce(F.get("p", F.size("p") - 1), F.lit(0)) > most)
     whole = F.when(F.size("s") > 0, F.array(F.struct(F.lit(0).alias("first"), (F.size("s") - 1).alias("last")))).otherwise(F.array().cast("array<struct<first:int,last:int>>"))
     short = rows.where(~long).withColumn("spans", whole).withColumn("spans", _refined(least)).select("doc_id", "s", "p", F.col("spans").alias("segments"))
-    # a word and a blank are two characters, so shorter texts need no look at their sentences to be left out
-    cut = sentences(texts.where(F.length("text") > 2 * most)).where(long).withColumn("key", F.xxhash64("s"))
+    cut = rows.where(long).withColumn("key", F.xxhash64("s"))
     cut = cut.join(block_strengths(cut.select("key", "s")), "key", "left")  # a text of one block has no strengths
 
     def boundary(i):
