@@ -59,17 +59,16 @@ def is_section_title(line: Column) -> Column:
 
 def is_furniture(line: Column) -> Column:
     """Page numbers, contacts, links, notices, affiliations and leftovers on a line by themselves."""
-    def of(t):
-        n = F.regexp_count(t, F.lit(r"\S+"))
+    def of(t, n):
         commas = F.length(t) - F.length(F.replace(t, F.lit(","), F.lit("")))
         location = t.rlike(LOCATIONS)
         return (
-            t.isin(*FRAGMENTS) | t.rlike(PAGE) | t.rlike(CONTACT) | t.rlike(ADDRESS) & (n <= 22) | t.rlike(PHONE) & (n <= 12) & t.rlike(PHONE_WORDS)
+            t.isin(*FRAGMENTS) | t.rlike(PAGE) | t.rlike(CONTACT) | (n <= 22) & t.rlike(ADDRESS) | (n <= 12) & t.rlike(PHONE) & t.rlike(PHONE_WORDS)
             | t.rlike(LINK) | (n <= 12) & t.rlike(LABELLED) | (n <= 18) & t.rlike(NOTICE) | (n <= 8) & F.contains(t, F.lit("open access"))
             | (n <= 22) & location & (t.rlike(PLACES) | (commas >= 2)) | (n <= 5) & t.rlike(TAIL) | (n <= 8) & t.rlike(TERMS)
         )
 
-    return bound(F.lower(line), of)
+    return bound(F.lower(line), lambda t: bound(F.regexp_count(t, F.lit(r"\S+")), lambda n: of(t, n)))
 
 
 def _facts(line: Column) -> Column:
@@ -104,7 +103,7 @@ def _joined(lines: Column) -> Column:
         def of(line, i):
             last = F.coalesce(F.when(i > 0, F.get(ls, i - 1)), F.lit(""))
             free = (last != "") & (line != "") & ~is_section_title(line)
-            plain = F.when(last.endswith("-"), "h").when(last.rlike(NUMBER_BEFORE) & line.rlike(NUMBER), "s").when(last.rlike(ENDED), "n").when(line.rlike(GOES_ON), "s").otherwise("n")
+            plain = F.when(last.endswith("-"), "h").when(line.rlike(NUMBER) & last.rlike(NUMBER_BEFORE), "s").when(last.rlike(ENDED), "n").when(line.rlike(GOES_ON), "s").otherwise("n")
             return F.struct(F.when(free, plain).otherwise("n").alias("plain"), (free & ~last.endswith("-") & line.rlike(CLOSES)).alias("closes"), F.contains(line, F.lit("]")).alias("closed"), line.rlike(OPENS).alias("opens"))
 
         return F.transform(ls, of)
@@ -136,4 +135,4 @@ def clean_copied(text: Column) -> Column:
     """
     lines = F.transform(F.split(X.basic_formatting(F.coalesce(text, F.lit(""))), "\n"), lambda x: F.trim(x))
     t = X.mend_merged_words(_joined(_without_boxes(lines)))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "[ \t]+", " "), "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "[ \t]{2,}|\t", " "), "\n{3,}", "\n\n"), r"^\s+|\s+$", "")

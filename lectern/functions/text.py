@@ -74,7 +74,7 @@ def basic_formatting(text: Column) -> Column:
     t = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     keep = {k: v for k, v in QUOTES.items() if v}
     t = F.translate(t, "".join(keep) + "".join(k for k, v in QUOTES.items() if not v), "".join(keep.values()))
-    t = F.regexp_replace(F.regexp_replace(t, "[ \t]+", " "), "\n{3,}", "\n\n")
+    t = F.regexp_replace(F.regexp_replace(t, "[ \t]{2,}|\t", " "), "\n{3,}", "\n\n")
     return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 
@@ -142,11 +142,13 @@ def force_period(text: Column) -> Column:
 
 def mend_merged_words(text: Column) -> Column:
     """Known words that copying has run together, apart again."""
-    edge, after = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+    def alone(first, rest):  # what is before is looked at where the first letter fits only
+        return rf"{first}(?<![\p{{L}}\p{{N}}_]{first}){rest}(?![\p{{L}}\p{{N}}_])"
+
     for bad, good in MERGED_WORDS.items():
-        text = F.regexp_replace(text, f"(?i){edge}{bad}{after}", good)
-    text = F.regexp_replace(text, f"{edge}the(mean|same|following|first|second){after}", "the $1")
-    return F.regexp_replace(text, f"{edge}is(more|less|likely|not){after}", "is $1")
+        text = F.regexp_replace(text, "(?i)" + alone(bad[0], bad[1:]), good)
+    text = F.regexp_replace(text, alone("t", "he(mean|same|following|first|second)"), "the $1")
+    return F.regexp_replace(text, alone("i", "s(more|less|likely|not)"), "is $1")
 
 
 def has_markdown(text: Column) -> Column:
