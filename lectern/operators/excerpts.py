@@ -14,13 +14,23 @@ LENGTHS = {"short": (250, 499, 360), "medium": (500, 800, 620), "long": (801, 12
 STARTS = 3
 
 
-def _of(ps: Column, start: int, least: int, most: int, target: int) -> Column:
-    """(off, words, pieces, whole, sentences) of the best excerpt from paragraph `start` (from 0) of structs (text, words, upto): null if none.
+def _base(ps: Column, start: int) -> Column:
+    return F.when(F.lit(start) > 0, F.get(ps, F.lit(start - 1))["upto"]).otherwise(F.lit(0).cast("bigint"))
+
+
+def _fits(ps: Column, start: int, most: int) -> Column:
+    """Paragraphs from `start` on that fit in `most` words."""
+    return F.filter(F.slice(ps, start + 1, F.greatest(F.size(ps) - start, F.lit(0))), lambda p: p["upto"] - _base(ps, start) <= most)
+
+
+def _of(ps: Column, sums: Column, start: int, least: int, most: int, target: int) -> Column:
+    """(off, words, pieces, whole, sentences) of the best excerpt from paragraph `start` (from 0) of structs (text, words, upto): null if none;
+    sums: (i, upto) of each paragraph that may be cut, its running words by sentence.
 
     Paragraphs are taken while they fit in `most` words, and then sentences of the next; of the lengths of
     `least` words or more on the way the nearest to target wins, then the one of fewer pieces.
     """
-    base = F.when(F.lit(start) > 0, F.get(ps, F.lit(start - 1))["upto"]).otherwise(F.lit(0).cast("bigint"))
+    base = _base(ps, start)
 
     def ranked(words: Column, pieces: Column, whole: Column, sentences: Column) -> Column:
         return F.struct(F.abs(words - target).cast("long").alias("off"), pieces.cast("int").alias("pieces"), words.cast("long").alias("words"), whole.cast("int").alias("whole"), sentences.cast("int").alias("sentences"))
@@ -29,13 +39,12 @@ def _of(ps: Column, start: int, least: int, most: int, target: int) -> Column:
         n = F.size(fit)
         taken = F.when(n > 0, F.element_at(fit, -1)["upto"] - base).otherwise(F.lit(0).cast("bigint"))
         whole = F.transform(fit, lambda p, i: ranked(p["upto"] - base, i + 1, i + 1, F.lit(0)))
-        rest = running_sums(F.transform(split_at_marks(F.coalesce(F.get(ps, n + start)["text"], F.lit(""))), word_count))
+        rest = F.filter(sums, lambda x: x["i"] == n + start)[0]["upto"]
         more = bound(rest, lambda r: F.transform(r, lambda w, k: ranked(taken + w, n + k + 1, n, k + 1)))
         good = F.filter(F.concat(whole, more), lambda x: (x["words"] >= least) & (x["words"] <= most))
         return F.array_min(good)
 
-    fits = F.filter(F.slice(ps, start + 1, F.greatest(F.size(ps) - start, F.lit(0))), lambda p: p["upto"] - base <= most)
-    return F.when(F.size(ps) > start, bound(fits, chosen))
+    return F.when(F.size(ps) > start, bound(_fits(ps, start, most), chosen))
 
 
 def excerpts(docs: DataFrame, lengths: dict[str, tuple[int, int, int]] | None = None) -> DataFrame:
@@ -49,11 +58,15 @@ def excerpts(docs: DataFrame, lengths: dict[str, tuple[int, int, int]] | None =
     d = computed(d, u=running_sums(F.col("w")))
     d = computed(d, ps=F.transform(F.arrays_zip("q", "w", "u"), lambda x: F.struct(x["q"].alias("text"), x["w"].alias("words"), x["u"].alias("upto")))).select("doc_id", "ps")
 
+    # paragraphs that some excerpt would cut, each split once
+    cut = F.array_distinct(F.array(*[F.size(_fits(F.col("ps"), s, most)) + s for s in range(STARTS) for _, most, _ in (lengths or LENGTHS).values()]))
+    d = computed(d, sums=F.transform(cut, lambda i: F.struct(i.alias("i"), running_sums(F.transform(split_at_marks(F.coalesce(F.get("ps", i)["text"], F.lit(""))), word_count)).alias("upto"))))
+
     def started(start: int, least: int, most: int, target: int) -> Column:
         def of(b):
             return F.when(b.isNotNull(), F.struct(b["off"].alias("off"), F.lit(start).alias("start"), b.alias("b")))
 
-        return bound(_of(F.col("ps"), start, least, most, target), of)
+        return bound(_of(F.col("ps"), F.col("sums"), start, least, most, target), of)
 
     def named(bucket: str, limits: tuple[int, int, int]) -> Column:
         def of(x):

@@ -54,3 +54,8 @@ def test_pieces_meet_before_they_become_terms(spark, sf_dir):
 def test_sentences_are_computed_once(spark, sf_dir):
     plan = plan_of(spark, sf_dir, "segment_cuts")
     assert "written-" in plan and "documents.parquet" not in plan
+
+
+def test_each_paragraph_is_split_once(spark, sf_dir):
+    """One split for the paragraphs that may be cut and one for the text, not one for each length and start."""
+    assert plan_of(spark, sf_dir, "length_excerpts").count("(?<=[.!?])") <= 2
