@@ -206,6 +206,51 @@ def test_passages_of_common_hashes_meet_beyond_the_first(spark):
     assert len(got & set(pairs)) >= 9
 
 
+def test_passages_of_common_hashes_meet_in_families(spark):
+    """Pairs at similarity 0.84 in families of 50 documents that share 46 of their 60 words: neither is like the first or the one before."""
+    from lectern.llm.passages import repeated_passages
+
+    rows, pairs = [], []
+    for g in range(8):
+        shared = edge.words(46, 40 + g, 9_000).split()
+        for i in range(50):
+            own = edge.words(14, 100_000 + 1_000 * g + (i if i % 5 else 5 * (i // 10)), 9_000).split()  # 0 and 5, 10 and 15, ...
+            p = own[:7] + shared + own[7:]
+            if i % 10 == 5:
+                p[30] = f"edit{g}x{i}"
+                pairs.append((100 * g + i, 100 * g + i - 5))
+            rows.append((100 * g + i, " ".join([edge.words(60, 200_000 + 1_000 * g + i, 9_000), *p, edge.words(60, 300_000 + 1_000 * g + i, 9_000)]), "en", "s"))
+    got = {(x.doc_id, x.source_doc_id) for x in repeated_passages(edge.documents(spark, rows)).collect()}
+    assert len(got & set(pairs)) >= 0.95 * len(pairs)
+
+
+def test_block_links_join_what_brute_force_joins():
+    from lectern.llm.passages import block_links, similar_spans
+
+    rng = np.random.default_rng(8)
+    base = [rng.integers(0, 1 << 62, 60).astype(np.uint64) for _ in range(4)]
+    pieces = []
+    for i in range(60):
+        p = base[i % 4].copy()
+        at = rng.integers(0, 50)
+        p[at : at + 5] = rng.integers(0, 1 << 62, 5)
+        pieces.append(p if i % 7 else np.resize(p[:3], 60))  # some are periodic
+    docs, zero = np.arange(60) // 2, np.zeros(60, np.int64)
+
+    def joined(links):
+        root = list(range(60))
+        for x, y in links:
+            root = [root[x] if r == root[y] else r for r in root]
+        return {frozenset(i for i in range(60) if root[i] == r) for r in root}
+
+    want = joined([(x, y) for x in range(60) for y in range(x + 1, 60) if docs[x] != docs[y] and similar_spans(pieces[x], pieces[y], 46, 0.8)])
+    every, halves = np.arange(60), np.split(np.arange(60), 2)
+    links = block_links(pieces, docs, every, every, 46, 0.8, zero)
+    assert joined(links) == want and len(links) == 60 - len(want)
+    parts = [x for a, b in ((0, 0), (0, 1), (1, 1)) for x in block_links(pieces, docs, halves[a], halves[b], 46, 0.8, zero)]
+    assert joined(parts) == want
+
+
 def test_passages_of_periodic_text_need_few_rows(monkeypatch):
     import pyarrow as pa
     from lectern.llm import passages as P
