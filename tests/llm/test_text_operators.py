@@ -251,6 +251,40 @@ def test_block_links_join_what_brute_force_joins():
     assert joined(parts) == want
 
 
+def test_block_links_look_at_one_piece_of_a_component(monkeypatch):
+    """Two blocks of near copies: a piece that one of a component has joined isn't held against the rest of it."""
+    from lectern.llm import passages as P
+
+    rng = np.random.default_rng(9)
+    base, pieces = rng.integers(0, 1 << 62, 60).astype(np.uint64), []
+    for i in range(200):
+        p = base.copy()
+        p[i % 60] = i
+        pieces.append(p)
+    rows, stretch = [], P._stretch
+    monkeypatch.setattr(P, "_stretch", lambda where, *rest: rows.append(len(where)) or stretch(where, *rest))
+    links = P.block_links(pieces, np.arange(200), np.arange(0, 200, 2), np.arange(1, 200, 2), 46, 0.8, np.zeros(200, np.int64))
+    assert len(links) == 199 and sum(rows) <= 2 * 200 * 15  # of 100 * 100 pairs, with 15 runs each
+
+
+def test_whole_spans_give_what_similar_spans_gives():
+    from lectern.llm.passages import similar_spans, whole_spans
+
+    rng = np.random.default_rng(3)
+    a, b = [], []
+    for i in range(300):
+        x = rng.integers(0, 40 if i % 3 == 0 else 1 << 62, rng.integers(30, 200)).astype(np.uint64)
+        y = np.concatenate((rng.integers(0, 1 << 62, rng.integers(0, 30)).astype(np.uint64), x[rng.integers(0, 20) :]))
+        y[rng.integers(0, len(y), rng.integers(0, 9))] = 5
+        a.append(np.resize(x[:3], 100) if i % 50 == 1 else x)
+        b.append(np.resize(y[-3:], 100) if i % 50 in (1, 2) else y[:0] if i % 50 == 3 else y)
+    shift = rng.integers(-40, 40, 300)
+    rows, left = whole_spans(a, b, shift, 46, 0.8)
+    want = [(i, *x) for i in range(300) for x in similar_spans(a[i], b[i], 46, 0.8, int(shift[i]))]
+    assert sorted(rows) == sorted(x for x in want if not left[x[0]])
+    assert len(rows) > 100 and left.any() and {x[0] for x in rows} & set(range(0, 300, 3))
+
+
 def test_passages_of_periodic_text_need_few_rows(monkeypatch):
     import pyarrow as pa
     from lectern.llm import passages as P
