@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import text as X
+from lectern.operators.cuts import computed
+from lectern.operators.sequences import written
 
 # fixed values: the eleven bins of the length histogram
 LENGTH_BINS = [("<=300", None, 300), ("301-400", 301, 400), ("401-500", 401, 500), ("501-600", 501, 600), ("601-700", 601, 700), ("701-800", 701, 800), ("801-900", 801, 900), ("901-1000", 901, 1000), ("1001-1100", 1001, 1100), ("1101-1200", 1101, 1200), (">1200", 1201, None)]
@@ -86,8 +88,23 @@ def flag_examples(df: DataFrame, flags: dict[str, Column], key: str, most: int)
 
 
 def term_stats(docs: DataFrame, by: str, least: int = 1) -> DataFrame:
-    """by, term, tf, df, idf = ln((1 + N) / (1 + df)) + 1 with N documents in the group."""
-    w = docs.select("doc_id", by, F.explode(X.tokens(F.col("text"))).alias("term")).groupBy(by, "term", "doc_id").agg(F.count("*").alias("k"))
-    d = w.groupBy(by, "term").agg(F.sum("k").alias("tf"), F.count("*").alias("df")).where(F.col("df") >= least)
+    """by, term, tf, df, idf = ln((1 + N) / (1 + df)) + 1 with N documents in the group.
+
+    Terms are counted where their row is read, so that sums move and no row's terms do. Only rows that share a doc_id in
+    their group meet, since they are one document; rows without doc_id count in tf and N.
+    """
+    rows = docs.select("doc_id", by, "text").where(F.col(by).isNotNull())
+    again = written(rows.where("doc_id is not null").groupBy(by, "doc_id").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    shared = not again.isEmpty()
+    d = computed(rows.join(again, [by, "doc_id"], "left_anti") if shared else rows, tokens=X.tokens(F.col("text")))
+
+    def marked(terms, first):
+        return F.transform(terms, lambda x: F.struct(x.alias("term"), first.alias("first")))
+
+    d = d.select(by, F.inline(F.concat(marked(F.col("tokens"), F.lit(False)), marked(F.array_distinct("tokens"), F.lit(True)))), F.col("doc_id").isNotNull().alias("known"))
+    d = d.groupBy(by, "term").agg(F.count_if(~F.col("first")).alias("tf"), F.count_if(F.col("first") & F.col("known")).alias("df"))
+    if shared:
+        w = rows.join(again, [by, "doc_id"], "left_semi").select("doc_id", by, F.explode(X.tokens(F.col("text"))).alias("term")).groupBy(by, "term", "doc_id").agg(F.count("*").alias("k"))
+        d = d.unionByName(w.groupBy(by, "term").agg(F.sum("k").alias("tf"), F.count("*").alias("df"))).groupBy(by, "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     n = docs.groupBy(by).agg(F.count("*").alias("docs"))
-    return d.join(n, by).select(by, "term", "tf", "df", F.round(F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1, 9).alias("idf"))
+    return d.where(F.col("df") >= least).join(n, by).select(by, "term", "tf", "df", F.round(F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1, 9).alias("idf"))

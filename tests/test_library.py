@@ -1,5 +1,6 @@
 """Sources, sinks, sentences, segments, streaming, sequences over small hand-made rows."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +166,14 @@ def test_sentences_are_the_same_in_both_engines(spark):
     assert got[0] == ["He paid 3.5 dollars.", "Dr. Smith left at 5 p.m. and slept.", "See a.com."] and got[1][-2:] == ["Foods, etc.", "Then more"]
     one = spark.createDataFrame([("A b. C!\nd\u3002e",)], "t string").select(split_simply(F.col("t")).alias("u")).first().u
     assert one == ["A b.", "C!", "d\u3002", "e"]
+
+
+def test_term_stats_count_a_shared_id_once_and_none_for_null(spark):
+    from lectern.operators.metrics import term_stats
+
+    rows = [(1, "en", "red red blue"), (1, "en", "red"), (2, "en", "Blue"), (None, "en", "red green"), (1, "fr", "red"), (3, None, "red"), (4, "en", None)]
+    for some in (rows, [r for r in rows if r != (1, "en", "red")]):
+        got = {(r[0], r[1]): (r.tf, r.df, r.idf) for r in term_stats(spark.createDataFrame(some, "doc_id long, lang string, text string"), "lang", least=0).collect()}
+        n = sum(r[1] == "en" for r in some)
+        assert set(got) == {("en", "red"), ("en", "blue"), ("en", "green"), ("fr", "red")}
+        assert got["en", "red"][:2] == (len(some) - 3, 1) and got["en", "blue"][:2] == (2, 2) and got["en", "green"] == (1, 0, round(float(np.log(1 + n)) + 1, 9))
