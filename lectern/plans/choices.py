@@ -22,7 +22,7 @@ z AS (SELECT gone FROM r ORDER BY i DESC LIMIT 1)
 SELECT w.doc_id, w.lang, coalesce(NOT list_contains(gone, w.doc_id), true) AS taken, CASE WHEN list_contains(gone, w.doc_id) THEN list_min(list_filter(near, lambda x: NOT list_contains(gone, x))) END AS by FROM w CROSS JOIN z LEFT JOIN p ON p.y = w.doc_id""")
 def unlike_titles(t):
     """Documents taken in order unless the first line is like that of one taken before in the language."""
-    d = t.documents.select("doc_id", "lang", F.split("text", "\n")[0].alias("title"))
+    d = t.documents.select("doc_id", "lang", F.substring_index("text", "\n", 1).alias("title"))
     return G.unlike_titles(d, "doc_id", "lang", "title", TITLE_STOP, 0.5)
 
 

@@ -33,6 +33,24 @@ def test_unlike_titles(spark):
     assert got == {1: (True, None), 2: (True, None), 3: (False, 1), 4: (True, None), 5: (True, None), 6: (True, None), 7: (False, 6), 8: (True, None), 9: (True, None), 10: (False, 1)}
 
 
+def test_title_pairs_of_a_kind_are_compared_whole_only_after_they_met(spark):
+    """Against a loop; and what is tested for each two titles with a word in common is numbers, not sets."""
+    from lectern.operators.reconcile import near_title_pairs
+
+    r = random.Random(4)
+    rows = [(i, r.choice(["x", "y", None]), " ".join(r.choice("abcdefghijklmnopqrst") * 3 for _ in range(r.randint(3, 18)))) for i in range(200)]
+    sets = {}
+    for k, kind, t in rows:
+        if len(set(t.split())) >= 3:
+            sets.setdefault((kind, frozenset(t.split())), k)
+    want = {(k, m): round(len(a & b) / len(a | b), 9) for (g, a), k in sets.items() for (h, b), m in sets.items() if g == h and k < m and len(a & b) >= 3 and 2 * len(a & b) >= len(a | b)}
+    pairs = near_title_pairs(spark.createDataFrame(rows, "k long, kind string, t string"), "k", "t", [], 0.5, 3, "kind")
+    got = pairs.collect()
+    assert want and len(got) == len(want) and {(x.x, x.y): x.similarity for x in got} == want
+    joins = [line for line in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert joins and not any("array_intersect" in line for line in joins)
+
+
 def loop_quota(cells):
     own = {b: min(t, n) for b, n, t in cells}
     lack = sum(t for _, _, t in cells) - sum(own.values())
