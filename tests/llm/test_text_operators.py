@@ -251,6 +251,27 @@ def test_block_links_join_what_brute_force_joins():
     assert joined(parts) == want
 
 
+def test_near_copies_are_linked_each_with_each(spark):
+    """More near copies than a key's contents that meet unasked: no link between two different ones is left out."""
+    from lectern.llm.passages import block_links, repeated_passages, similar_spans
+
+    base, rows = edge.words(54, 77, 9_000).split(), []
+    for i in range(20):
+        rows.append((i + 1, " ".join([*base[:27], f"changed{i}", *base[28:]]), "en", "s"))
+    got = {(x.doc_id, x.source_doc_id) for x in repeated_passages(edge.documents(spark, rows)).collect()}
+    assert len(got) >= 0.98 * 190  # a pair is met with a probability, 0.996 here
+
+    rng = np.random.default_rng(10)
+    pieces = [np.concatenate((rng.integers(0, 1 << 62, 20).astype(np.uint64), p, p[:10])) for p in [rng.integers(0, 1 << 62, 60).astype(np.uint64)] * 30]
+    for i, p in enumerate(pieces):
+        p[25 + i : 28 + i] = i
+    docs, zero, halves = np.arange(30) // 2, np.zeros(30, np.int64), np.split(np.arange(30), 2)
+    want = {(x, y) for x in range(30) for y in range(x + 1, 30) if docs[x] != docs[y] and similar_spans(pieces[x], pieces[y], 46, 0.8)}
+    for parts in ([(np.arange(30), np.arange(30))], [(halves[0], halves[0]), (halves[0], halves[1]), (halves[1], halves[1])]):
+        links = np.concatenate([block_links(pieces, docs, a, b, 46, 0.8, zero, every=True) for a, b in parts]).tolist()
+        assert want and len(links) == len(set(map(tuple, links))) and want <= set(map(tuple, links))
+
+
 def test_block_links_look_at_one_piece_of_a_component(monkeypatch):
     """Two blocks of near copies: a piece that one of a component has joined isn't held against the rest of it."""
     from lectern.llm import passages as P
