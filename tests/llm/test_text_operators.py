@@ -306,6 +306,34 @@ def test_whole_spans_give_what_similar_spans_gives():
     assert len(rows) > 100 and left.any() and {x[0] for x in rows} & set(range(0, 300, 3))
 
 
+def test_runs_of_repeating_shingles_count_each_once():
+    from lectern.llm.passages import _before, _occurrence, _repeating
+
+    rng, t, some = np.random.default_rng(12), 46, 0
+    for i in range(60):
+        a = rng.integers(0, (3, 30, 200)[i % 3], rng.integers(60, 200)).astype(np.uint64)
+        b = np.concatenate((rng.integers(0, 30, 9).astype(np.uint64), a[rng.integers(0, 9) :]))
+        b[rng.integers(0, len(b), 4)] = 500
+        hit, where = _occurrence(a, b, -5)
+        code = np.unique(np.concatenate((a, b)), return_inverse=True)[1]
+        before = [_before(x, np.zeros(len(x), np.int64)) for x in (a, b)]
+        first, similarity = _repeating(np.arange(len(b) - t + 1), t, where, hit, code[: len(a)], code[len(a) :], *before)
+        for s in range(len(b) - t + 1):
+            at = np.flatnonzero(hit[s : s + t]) + s
+            if not len(at):
+                assert similarity[s] == 0
+                continue
+            off = where[at] - at
+            near = where[at][np.abs(off - int(np.median(off))) <= t // 2]
+            if not len(near):
+                assert similarity[s] == 0
+                continue
+            x, y = set(a[near.min() : near.max() + 1].tolist()), set(b[s : s + t].tolist())
+            assert first[s] == near.min() and similarity[s] == len(x & y) / len(x | y)
+            some += 1
+    assert some > 1_000
+
+
 def test_passages_of_periodic_text_need_few_rows(monkeypatch):
     import pyarrow as pa
     from lectern.llm import passages as P
